@@ -36,7 +36,7 @@ def _(t):
     return sequences.representatives(t.seqs)
 
 
-_ANY, _NONE = ("data", "model", "water"), ("license", "copyright", "password", "click")
+_ANY, _NONE = ("license", "with", "from"), ("this", "than", "ther")
 
 
 @query("text_query_filter", f"SELECT read_id, sample, length(seq) AS letters FROM seqs WHERE regexp_matches(seq, '(?i)\\b({'|'.join(_ANY)})\\b') AND NOT regexp_matches(seq, '(?i)\\b({'|'.join(_NONE)})\\b')")
