@@ -33,8 +33,9 @@ class Tables:
 
     @cached_property
     def counts(self) -> DataFrame:
+        cells = self.read("lineitem").groupBy("l_suppkey", "l_linestatus", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
         sample = F.concat(F.col("l_suppkey").cast("string"), F.lit("_"), "l_linestatus").alias("sample")
-        return self.read("lineitem").groupBy(sample, F.col("l_partkey").cast("string").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+        return cells.select(sample, F.col("l_partkey").cast("string").alias("feature"), "n")
 
     @cached_property
     def samples(self) -> DataFrame:
@@ -142,7 +143,7 @@ class Tables:
 
     @cached_property
     def community(self) -> analyses.Community:
-        return analyses.import_community(self.counts, self.samples, self.tax_raw, self.edits, self.guild_db, self.dse_list, DEPTH, SEED)
+        return analyses.import_community(self.counts, self.samples, self.tax_raw, self.edits, self.guild_db, self.dse_list, DEPTH, SEED, store=True)
 
     @cached_property
     def tax_guild(self) -> DataFrame:

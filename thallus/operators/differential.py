@@ -83,7 +83,7 @@ def _em_round(estimates: DataFrame, states: Mapping[str, dict[str, float]]) -> d
     joined = joined.withColumns({f"r{c}": F.col(f"e{c}") / F.col("whole") for c in range(3)})
     shares = [F.col(f"r{c}") for c in range(3)]
     sums = joined.groupBy("coefficient").agg(
-        F.count(F.lit(1)).alias("taxa"),
+        F.avg(F.col("top") + F.log("whole")).alias("fit"),
         *[F.sum(shares[c]).alias(f"r{c}") for c in range(3)],
         F.sum(sum((shares[c] * (b - offset[c]) / spread[c] for c in range(3)), F.lit(0.0))).alias("up"),
         F.sum(sum((shares[c] / spread[c] for c in range(3)), F.lit(0.0))).alias("down"),
@@ -99,7 +99,7 @@ def _em_round(estimates: DataFrame, states: Mapping[str, dict[str, float]]) -> d
         r["coefficient"]: _valid(dict(
             delta=over(r["up"], r["down"]), l1=over(r["a1"], r["w1"]), l2=over(r["a2"], r["w2"]),
             k1=over(r["s1"], r["r1"]), k2=over(r["s2"], r["r2"]), p0=r["r0"], p1=r["r1"], p2=r["r2"],
-        ))
+        )) | {"fit": r["fit"]}
         for r in sums
     }
 
@@ -109,7 +109,8 @@ def _mixture_bias(estimates: DataFrame, tol: float, max_iter: int) -> dict[str,
 
     ``estimates(coefficient, estimate, variance)``.  Every third round starts from a squared
     extrapolation of the two before it, which reaches the fixed point in far fewer passes
-    over the taxa.
+    over the taxa.  A coefficient is done when neither its bias nor the mean log-likelihood
+    moves by ``tol``; the mixture's other parameters may be barely identified.
     """
     ends = estimates.groupBy("coefficient").agg(F.percentile_approx("estimate", [0.125, 0.25, 0.75, 0.875], 10000).alias("q"))
     named = estimates.join(ends, "coefficient")
@@ -138,10 +139,11 @@ def _mixture_bias(estimates: DataFrame, tol: float, max_iter: int) -> dict[str,
         rounds += 2
         for name in list(active):
             states[name] = third[name]
-            step, bend = gap(second[name], first[name]), gap(third[name], second[name])
-            if bend < tol:
+            settled = abs(third[name]["fit"] - second[name]["fit"]) < tol
+            if settled and max(abs(s[name]["delta"] - first[name]["delta"]) for s in (second, third)) < tol:
                 active.discard(name)
                 continue
+            step = gap(second[name], first[name])
             turn = math.sqrt(sum((third[name][f] - 2 * second[name][f] + first[name][f]) ** 2 for f in _PARAMETERS))
             length = max(step / turn, 1.0) if turn > 0 else 1.0
             states[name] = _valid({

@@ -49,9 +49,9 @@ def rarefy(counts: DataFrame, depth: int, seed: int = 67) -> DataFrame:
     first = F.col("chunk") * READS_PER_CHUNK + 1
     last = F.least((F.col("chunk") + 1) * READS_PER_CHUNK, F.col("n"))
     # one abundant cell may hold very many reads: spread its chunks before they are expanded
-    reads = chunks.repartition("sample", "feature", "chunk").select("sample", "feature", "cut", F.explode(F.sequence(first, last)).alias("i"))
-    placed = reads.withColumn("h", F.md5(F.concat_ws("|", "sample", "feature", F.col("i").cast("string"), F.lit(str(seed)))))
-    drawn = placed.where(F.col("h") < F.col("cut"))
+    spread = chunks.repartition("sample", "feature", "chunk")
+    place = F.transform(F.sequence(first, last), lambda i: F.md5(F.concat_ws("|", "sample", "feature", i.cast("string"), F.lit(str(seed)))))
+    drawn = spread.select("sample", "feature", "cut", F.explode(place).alias("h")).where(F.col("h") < F.col("cut"))
     by_sample = Window.partitionBy("sample")
     ranked = drawn.select(
         "sample", "feature",
