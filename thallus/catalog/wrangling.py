@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import classes, text
 from ..operators import distances, ecology, ranking, relational, taxonomy
 from .registry import query
-from .tables import SPECIES, TIMES
+from .tables import DEPTH, SPECIES, TIMES
 
 
 # -- projection and filters --------------------------------------------------------
@@ -53,9 +53,11 @@ def _(t):
     return relational.drop_incomplete(shares)
 
 
-@query("filter_full_depth", "SELECT * FROM counts SEMI JOIN (SELECT sample FROM counts GROUP BY 1 HAVING sum(n) = 300) USING (sample)")
+@query("filter_full_depth", "SELECT sample, feature, n FROM rare")
 def _(t):
-    return ecology.at_depth(t.counts, 300)
+    """Samples too poor to be rarefied pass through unchanged first, then go for want of depth."""
+    poor = relational.drop_in(t.fungal, t.rare, "sample")
+    return ecology.at_depth(t.rare.unionByName(poor), DEPTH)
 
 
 # -- joins -------------------------------------------------------------------------
