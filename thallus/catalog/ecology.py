@@ -74,7 +74,7 @@ def _(t):
     return ecology.wisconsin_autotransform(t.genera.withColumnRenamed("taxon", "feature"))
 
 
-@query("step_across")
+@query("stepacross")
 def _(t):
     return distances.step_across(distances.bray_curtis(t.counts), t.counts)
 
@@ -103,8 +103,8 @@ def _(t):
 
 @query("feature_clusters")
 def _(t):
-    families = taxonomy.rollup_rank(t.counts, t.tax, "species")
-    return distances.feature_clusters(ecology.minmax_scale(families, "taxon", "n", t.counts), 6)
+    species = taxonomy.rollup_rank(t.counts, t.tax, "species")
+    return distances.feature_clusters(ecology.minmax_scale(species, "taxon", "n", t.counts), 6)
 
 
 # -- roll-ups and group summaries --------------------------------------------------

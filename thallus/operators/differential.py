@@ -25,7 +25,7 @@ def log_counts(counts: DataFrame, samples: DataFrame, tax: DataFrame | None, fac
     """``(taxon, sample, n, y, factors)`` for the taxa and samples that pass the filters; zeros are missing."""
     used = counts.join(samples.select("sample"), "sample", "left_semi")
     rolled = taxonomy.rollup_rank(used, tax, rank) if tax is not None else used.select("sample", F.col("feature").alias("taxon"), "n")
-    kept = prevalence_filter(rolled.where("n > 0"), prv_cut, lib_cut, "taxon")
+    kept = prevalence_filter(durable(rolled.where("n > 0")), prv_cut, lib_cut, "taxon")
     return kept.join(samples.select("sample", *factors), "sample").withColumn("y", F.log(F.col("n").cast("double")))
 
 
@@ -178,7 +178,8 @@ def _tested(fits: DataFrame, s0_perc: float, alpha: float, tol: float, em_max_it
     effects = fits.where((F.col("coefficient") != "(Intercept)") & F.col("std_error").isNotNull()).select(
         "taxon", "coefficient", "estimate", (F.col("std_error") ** 2).alias("variance"), F.col("std_error").alias("se")
     )
-    effects = durable(effects)
+    # every EM round reads these few columns: kept in memory, rebuilt from the stored table if lost
+    effects = durable(effects).persist()
     bias = _mixture_bias(effects, tol, em_max_iter)
     if bias:
         delta = F.create_map(*[F.lit(x) for pair in bias.items() for x in pair])[F.col("coefficient")]

@@ -226,9 +226,11 @@ def presence_contrast(
 
 def prevalence_filter(counts: DataFrame, prv_cut: float, lib_cut: float = 0, key: str = "feature") -> DataFrame:
     """Keys present in at least ``prv_cut`` of the samples, in samples of at least ``lib_cut`` reads."""
-    deep = keep_in(counts, seq_depth(counts).where(F.col("depth") >= lib_cut), "sample")
-    n_samples = deep.agg(F.count_distinct("sample")).scalar()
-    present = deep.where("n <> 0").groupBy(key).agg(F.count_distinct("sample").alias("_p"))
+    library = seq_depth(counts).where(F.col("depth") >= lib_cut)
+    deep = keep_in(counts, library, "sample")
+    n_samples = library.agg(F.count(F.lit(1))).scalar()
+    # one row per (sample, key): a plain count combines map-side, a distinct one would shuffle every cell
+    present = deep.where("n <> 0").groupBy(key).agg(F.count(F.lit(1)).alias("_p"))
     return keep_in(deep, present.where(F.col("_p") >= F.lit(prv_cut) * n_samples), key)
 
 
@@ -237,11 +239,12 @@ def prevalence_filter(counts: DataFrame, prv_cut: float, lib_cut: float = 0, key
 def minmax_scale(df: DataFrame, key: str, value: str, samples: DataFrame) -> DataFrame:
     """``(x - min) / (max - min)`` per key over all ``samples``; constant keys give NULL.
 
-    A key absent from some sample has a zero there, which bounds its minimum and maximum.
+    ``df`` has one row per (sample, key).  A key absent from some sample has a zero there,
+    which bounds its minimum and maximum.
     """
     n_samples = samples.agg(F.count_distinct("sample")).scalar()
     v = F.col(value).cast("double")
-    ranges = df.groupBy(key).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count_distinct("sample").alias("_k"))
+    ranges = df.groupBy(key).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(F.lit(1)).alias("_k"))
     sparse = F.col("_k") < n_samples
     lo = F.when(sparse, F.least("_lo", F.lit(0.0))).otherwise(F.col("_lo"))
     hi = F.when(sparse, F.greatest("_hi", F.lit(0.0))).otherwise(F.col("_hi"))

@@ -79,4 +79,4 @@ def heatmap(community: Community, selected: DataFrame, order: DataFrame, rank: s
     rolled = taxonomy.rollup_rank(community.relative, community.taxonomy, rank, "rel")
     table = ecology.scaled_long(rolled, community.samples, selected, order, "rel")
     ranked = table.withColumn("time_order", classes.level_rank(F.col("time"), ("June20", "Jan21")))
-    return ranking.level_index(ranked, ["time_order", "species", "taxon_order"]).drop("time_order")
+    return ranking.level_index(durable(ranked), ["time_order", "species", "taxon_order"]).drop("time_order")
