@@ -147,11 +147,11 @@ class Tables:
 
     @cached_property
     def tax_guild(self) -> DataFrame:
-        return self.community.taxonomy
+        return analyses.annotate_taxonomy(self.tax_raw, self.edits, self.guild_db, self.dse_list)
 
     @cached_property
     def fungal(self) -> DataFrame:
-        return self.community.fungal
+        return relational.filter_features(self.counts, self.tax, F.col("kingdom") == "Fungi")
 
     @cached_property
     def rare(self) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -74,21 +74,16 @@ def consensus_taxonomy(
     top = hits.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= max_hits)
     pieces = F.transform(F.split("lineage", sep), lambda piece: F.trim(piece))
     lineages = top.join(tax_raw.select(F.col("feature").alias("subject"), pieces.alias("_pieces")), "subject")
-    prefixes = lineages.select(
-        "query", F.explode(F.transform(F.sequence(F.lit(1), F.size("_pieces")), lambda d: F.struct(
-            d.alias("depth"), F.array_join(F.slice("_pieces", 1, d), "; ").alias("prefix")))).alias("p"),
+    # at most max_hits rows per query are left, so counting them by window is bounded too
+    counted = lineages.withColumn("hits", F.count(F.lit(1)).over(Window.partitionBy("query")))
+    # depth 0 is shared by every hit: a query without agreement falls back on it
+    prefix = F.transform(F.sequence(F.lit(0), F.size("_pieces")), lambda d: F.struct(
+        d.alias("depth"), F.when(d == 0, UNASSIGNED).otherwise(F.array_join(F.slice("_pieces", 1, d), "; ")).alias("prefix")))
+    prefixes = counted.select("query", "hits", F.explode(prefix).alias("p"))
+    shared = prefixes.groupBy("query", "hits", "p.depth", "p.prefix").agg(F.count(F.lit(1)).alias("votes"))
+    agreed = shared.where(F.col("votes") >= F.lit(min_share) * F.col("hits"))
+    found = agreed.groupBy("query").agg(F.max(F.struct("depth", "prefix", "votes", "hits")).alias("best"))
+    return found.select(
+        "query", F.col("best.prefix").alias("lineage"), F.col("best.depth").alias("depth"),
+        F.when(F.col("best.depth") > 0, F.try_divide("best.votes", "best.hits")).alias("share"),
     )
-    shared = prefixes.groupBy("query", "p.depth", "p.prefix").agg(F.count(F.lit(1)).alias("votes"))
-    voters = lineages.groupBy("query").agg(F.count(F.lit(1)).alias("hits"))
-    agreed = shared.join(voters, "query").where(F.col("votes") >= F.lit(min_share) * F.col("hits"))
-    found = agreed.groupBy("query").agg(F.max(F.struct("depth", "prefix", "votes")).alias("best"))
-    return voters.join(found, "query", "left").select(
-        "query",
-        F.coalesce("best.prefix", F.lit(UNASSIGNED)).alias("lineage"),
-        F.coalesce("best.depth", F.lit(0)).alias("depth"),
-        F.try_divide("best.votes", "hits").alias("share"),
-    )
-
-
-def known(col: str) -> Column:
-    return F.col(col).isNotNull()
