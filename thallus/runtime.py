@@ -1,4 +1,4 @@
-"""Where durable intermediate results go."""
+"""Where durable intermediate results go, and who clears them away."""
 
 from __future__ import annotations
 
@@ -27,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/thallus-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to shared storage and read back.
 
@@ -34,7 +41,33 @@ def durable(df: DataFrame) -> DataFrame:
     replays nothing of it.  As a table it also prunes columns and tells the optimizer its
     true size.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/thallus-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _stored(df)[0]
+
+
+class Scratch:
+    """Owner of stored tables: ``keep`` stores one, ``drop`` deletes those no longer needed.
+
+    As a context manager it drops whatever is left on leaving, so what is built from the
+    tables must be consumed (written, collected or kept elsewhere) inside the block.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._held = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        held, path = _stored(df)
+        self._held.append((held, path))
+        return held
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            for entry in [e for e in self._held if e[0] is table]:
+                self._held.remove(entry)
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.drop(*[table for table, _ in self._held])
