@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from . import packing, token_counts
+from . import packing, quality_classifier, quality_rules, sharding, token_counts
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,31 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark)
     cut = packing.pieces(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(scratch.keep(cut), scratch)
+
+
+@query
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base rules and the forest's verdict; tests compare the counts with brute force, the forest with labels."""
+    rows = quality_rules.judged(documents(spark, folder), documents(spark, folder, "labels"), Scratch(spark))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all texts; tests measure held-out accuracy."""
+    docs = documents(spark, folder)
+    machine = quality_classifier.fit(docs, documents(spark, folder, "labels"))
+    rows = quality_classifier.scored(docs.select("doc_id", "text", "n_chars"), machine)
+    held = F.coalesce(quality_classifier.fold(F.col("doc_id")) == 0, F.lit(False))
+    predicted = (F.col("score") >= quality_classifier.THRESHOLD).cast("int")
+    return rows.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Law ``rows``: 24 shards of equal counts; tests check margins, gapless slots and uniformity."""
+    docs = documents(spark, folder)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", sharding.text_size(F.col("text")).alias("size"), crc.alias("text_crc32"))
+    out = sharding.shuffled(rows, Scratch(spark))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
