@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from . import packing, quality_classifier, quality_rules, sharding, token_counts
+from . import embedding_dedup, minhash, packing, quality_classifier, quality_rules, sharding, token_counts
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,15 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     rows = docs.select("doc_id", sharding.text_size(F.col("text")).alias("size"), crc.alias("text_crc32"))
     out = sharding.shuffled(rows, Scratch(spark))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links at a similarity of 0.85; tests compare with brute force."""
+    return minhash.near_duplicates(documents(spark, folder), Scratch(spark), threshold=(85, 100))
+
+
+@query
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine of 0.93 or more inside a label; tests compare with the full matrix."""
+    return embedding_dedup.near_vectors(documents(spark, folder, "embeddings"), Scratch(spark))
