@@ -7,11 +7,13 @@ Jaccard similarity (b is close to 1), so runs of registers are banded into bucke
 pass a joint likelihood test on their registers, which drops a pair only if the data speak
 against the threshold by more than ``SLACK`` nats, and are then verified on the full sets.
 
-Texts with equal sets form one class and enter once.  Inside a bucket no list of pairs is made:
-a few leaders are compared with the members of other components, links are merged into
-components, leaders that have met everybody leave, and the number of leaders doubles, until
-every bucket holds one component.  So a bucket of near copies costs one comparison each, and
-still every pair of different components has been compared.
+Texts with equal sets form one class and enter once.  A candidate of
+whose shingles too many occur in no other candidate can reach no one's threshold and leaves.
+Inside a bucket no list of pairs is made: a few leaders (centres first) are compared with the
+members of other components, links are merged into components, leaders that have met everybody
+leave, and the number of leaders doubles, until every bucket holds one component.  So a bucket of
+near copies costs about one comparison each, and still no pair of different components goes
+unexamined.
 
 Edge cases: texts without words (null, empty, blanks) link with nothing; fewer words than a
 shingle make one shingle of the whole text; equal texts are linked; rows that share a doc_id are
@@ -135,7 +137,7 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(make, f"id {kind}, elements array<long>")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
     """Those (a, b) whose full sets reach the threshold."""
     num, den = threshold
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
@@ -150,50 +152,75 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text
                 keep = pa.array(plausible(r_a, r_b, n_a, n_b, num / den))
                 yield some.select(["a", "b"]).filter(keep)
 
-    likely = scratch.keep(sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(estimate, pairs.schema).distinct())
-    needed = likely.select(F.col("a").alias("_need")).unionAll(likely.select(F.col("b").alias("_need"))).distinct()
-    sets = scratch.keep(_sets(docs.join(needed, docs[key] == F.col("_need"), "left_semi"), key, text))
+    likely = sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(estimate, pairs.schema).distinct()
     of = lambda s: sets.select(F.col("id").alias(s), F.col("elements").alias(f"e_{s}"))
     both = likely.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("e_a", "e_b"))
-    links = scratch.keep(both.where(den * common >= num * (F.size("e_a") + F.size("e_b") - common)).select("a", "b"))
-    scratch.drop(likely, sets)
-    return links
+    return scratch.keep(both.where(den * common >= num * (F.size("e_a") + F.size("e_b") - common)).select("a", "b"))
+
+
+def _crowded(members: DataFrame, root: str = "id") -> DataFrame:
+    """Members of the buckets that hold different values of ``root``."""
+    mixed = members.groupBy("bucket").agg(F.min(root).alias("lo"), F.max(root).alias("hi")).where("lo <> hi").select("bucket")
+    return members.join(mixed, "bucket", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int] = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept: documents linked at ``threshold`` (a fraction) or above."""
+    num, den = threshold
     docs = docs.select(key, text)
     sketched = scratch.keep(sketches(docs, key, text))
     usable = sketched.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
     classes = scratch.keep(usable.groupBy("set_key").agg(F.min(key).alias("id")))
-    reps = scratch.keep(usable.join(classes, "set_key").where(F.col(key) == F.col("id")).select("id", "n_shingles", "registers", "bands"))
-    members = reps.select("id", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    live = scratch.keep(members.join(crowded, "bucket").select("bucket", "id", F.col("id").alias("root")).distinct())
+    reps = usable.join(classes, "set_key").where(F.col(key) == F.col("id"))
+    reps = scratch.keep(reps.select("id", "n_shingles", "registers", "bands"))
+    members = scratch.keep(_crowded(reps.select("id", F.explode("bands").alias("bucket")).distinct()))
+    sets = scratch.keep(_sets(docs.join(members.select(F.col("id").alias(key)).distinct(), key, "left_semi"), key, text))
+    # ``core``: shingles that some other candidate has too; no intersection of a text is larger
+    lonely = sets.select("id", F.explode("elements").alias("e")).groupBy("e").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    lonely = lonely.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    cores = sets.select("id", F.size("elements").alias("n")).join(lonely, "id", "left")
+    cores = cores.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("core")).groupBy("id").agg(F.max("n").alias("n"), F.max("core").alias("core"))
+    told = members.join(cores, "id")
+    about = told.groupBy("bucket").agg(F.count(F.lit(1)).alias("met"), F.min("n").alias("least_n"))
+    told = told.join(about, "bucket")
+    degree = told.groupBy("id").agg(F.sum("met").alias("degree"))
+    # the best similarity in this bucket: the whole core in common with a text as small as any here
+    told = told.where(den * F.col("core") >= num * (F.col("n") + F.greatest("least_n", "core") - F.col("core")))
+    told = told.select("bucket", "id", "n", "core").join(degree, "id")
+    live = scratch.keep(_crowded(told.select("bucket", "id", F.col("id").alias("root"), "degree", "n", "core")))
+    scratch.drop(members)
     links, tested, roots, leaders_per_bucket = None, None, None, 1
     while live.limit(1).count():
+        # texts of small components first, and among them those that meet many others: the centre of a family
+        together = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("together"))
         place = F.pmod(F.xxhash64("id", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket))
-        leaders = scratch.keep(live.groupBy("bucket", place.alias("_place")).agg(F.min(F.struct("id", "root")).alias("l")).select("bucket", "l.id", "l.root"))
-        met = live.join(leaders.select("bucket", F.col("id").alias("l"), F.col("root").alias("l_root")), "bucket").where("root <> l_root")
+        order = F.struct("together", (-F.col("degree")).alias("degree"), "id", "root", "n", "core")
+        leaders = live.join(together, ["bucket", "root"]).groupBy("bucket", place.alias("_place")).agg(F.min(order).alias("l"))
+        leaders = scratch.keep(leaders.select("bucket", "l.id", "l.root", "l.n", "l.core"))
+        other = leaders.select("bucket", *[F.col(c).alias(f"l_{c}") for c in ("id", "root", "n", "core")]).withColumnRenamed("l_id", "l")
+        common = F.least("core", "l_core")
+        met = live.join(other, "bucket").where((F.col("root") != F.col("l_root")) & (den * common >= num * (F.col("n") + F.col("l_n") - common)))
         pairs = met.select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
-        found = _verified(pairs, reps, docs, key, text, threshold, scratch)
-        links = found if links is None else scratch.keep(links.unionAll(found))
+        found = _verified(pairs, reps, sets, threshold, scratch)
         tested = pairs if tested is None else scratch.keep(tested.unionAll(pairs))
+        if found.limit(1).count():
+            links = found if links is None else scratch.keep(links.unionAll(found))
+            roots = scratch.keep(components(links, scratch))
+        rest = live.join(leaders, ["bucket", "id"], "left_anti")
         if roots is not None:
-            scratch.drop(roots)
-        roots = scratch.keep(components(links, scratch))
-        rest = live.join(leaders, ["bucket", "id"], "left_anti").select("bucket", "id")
-        rest = rest.join(roots, rest["id"] == roots["node"], "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        mixed = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        after = scratch.keep(rest.join(mixed, "bucket", "left_semi"))
+            rest = rest.drop("root").join(roots, rest["id"] == roots["node"], "left")
+        rest = rest.select("bucket", "id", F.coalesce("root", "id").alias("root"), "degree", "n", "core")
+        after = scratch.keep(_crowded(rest, "root"))
         scratch.drop(live, leaders)
         live, leaders_per_bucket = after, leaders_per_bucket * 2
     placed = sketched.select(key, "n_shingles", "set_key").join(classes, "set_key", "left")
     if roots is not None:
         placed = placed.join(roots, placed["id"] == roots["node"], "left").withColumn("id", F.coalesce("root", "id"))
     component = F.when(F.col(key).isNotNull(), F.coalesce("id", key))
-    return placed.select(key, "n_shingles", component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    out = placed.select(key, "n_shingles", component.alias("component_id"))
+    scratch.drop(sets, reps)
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
