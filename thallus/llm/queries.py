@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from . import embedding_dedup, minhash, packing, quality_classifier, quality_rules, sharding, token_counts
+from . import embedding_dedup, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, sharding, token_counts
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,30 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of 0.93 or more inside a label; tests compare with the full matrix."""
     return embedding_dedup.near_vectors(documents(spark, folder, "embeddings"), Scratch(spark))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that each document loses; tests compare with brute force over all pairs of lines."""
+    docs, scratch = documents(spark, folder).select("doc_id", "text"), Scratch(spark)
+    gone = line_dedup.dropped_lines(docs, scratch).withColumnRenamed("doc", "doc_id")
+    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    n = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long")
+    return lines.join(gone, "doc_id", "left").select("doc_id", "n_lines", n.alias("n_dropped"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "dropped")
+
+
+#: target shares of tokens, by what the labels say
+DOMAINS = {"clean": 0.93, "noisy": 0.04, "toxic": 0.03}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "noisy").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", kind.alias("domain"))
+
+
+@query
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates and copies for the target weights; tests compare totals with targets."""
+    labelled = domains_of(documents(spark, folder, "labels"))
+    rows = mixing.mixed(documents(spark, folder), labelled, DOMAINS, Scratch(spark), full="clean", scale=1.1)
+    return rows.select("doc_id", "n_tokens", "rate", "copies", *[F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
