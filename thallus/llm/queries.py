@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from . import embedding_dedup, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, sharding, token_counts
+from . import embedding_dedup, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     labelled = domains_of(documents(spark, folder, "labels"))
     rows = mixing.mixed(documents(spark, folder), labelled, DOMAINS, Scratch(spark), full="clean", scale=1.1)
     return rows.select("doc_id", "n_tokens", "rate", "copies", *[F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes covered by repeated strings of 400 bytes; tests compare with brute force over all strings."""
+    return suffix_dedup.without_repeats(documents(spark, folder), Scratch(spark))
