@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +67,11 @@ class Scratch:
                 where = self.spark._jvm.org.apache.hadoop.fs.Path(entry[1])
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def tidy(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now: it does so when their plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def __enter__(self) -> Scratch:
         return self
 
