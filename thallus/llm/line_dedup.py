@@ -49,15 +49,24 @@ def _named(total: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
     return mix(total * _ROW + np.uint64((length * int(_LENGTH) + salt * int(_GAP)) % (1 << 64)))
 
 
-def half_keys(total: np.ndarray) -> list[int]:
-    """Keys of the halves that a line of as many words, or of one more or less, may share."""
-    n = len(total) - 1
-    keys = set()
-    for h in {n // 2, (n - 1) // 2, (n + 1) // 2}:
-        keys.add(int(_named(total[h : h + 1], h, 1)[0]))
-        tail = (total[n:] - total[n - h : n - h + 1]) * np.uint64(pow(int(_BACK), n - h, 1 << 64))
-        keys.add(int(_named(tail, h, 2)[0]))
-    return sorted(keys)
+def line_keys(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the lines at words start..stop-1, and four keys of the halves each may share with a near line.
+
+    With a line of as many words, or one more or less, an edit leaves the first or the last half of
+    the shorter line as it is; which of the two is longer is not known, so both lengths are given.
+    """
+    total = sums(hashes)
+    back = np.concatenate(([np.uint64(1)], np.cumprod(np.full(len(hashes), _BACK))))
+    of = lambda a, b: (total[b] - total[a]) * back[a]
+    n = stop - start
+    whole = _named_all(of(start, stop), n, 0)
+    halves = [_named_all(of(start, start + h), h, 1) for h in (n // 2, (n - 1) // 2)]
+    halves += [_named_all(of(stop - h, stop), h, 2) for h in ((n + 1) // 2, n // 2)]
+    return whole, np.column_stack(halves)
+
+
+def _named_all(total: np.ndarray, length: np.ndarray, salt: int) -> np.ndarray:
+    return mix(total * _ROW + length.astype(np.uint64) * _LENGTH + np.uint64(salt * int(_GAP) % (1 << 64)))
 
 
 def variants(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
@@ -87,19 +96,24 @@ def _lines(docs: DataFrame, key: str, text: str, min_words: int, near_words: int
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in text_slices(batches, text):
-            owner, number, line, halves = [], [], [], []
+            owner, number, length, words = [], [], [], []
             for row, value in enumerate(part.column(text).to_pylist()):
                 for no, raw in enumerate((value or "").encode().lower().split(b"\n")):
-                    words = raw.split()
-                    if len(words) >= min_words:
-                        total = sums(known.of(words))
+                    own = raw.split()
+                    if len(own) >= min_words:
+                        words += own
                         owner.append(row)
                         number.append(no)
-                        line.append(_named(total[-1:], len(words))[0])
-                        halves.append(np.array(half_keys(total), np.uint64).view(np.int64) if len(words) >= near_words else [])
+                        length.append(len(own))
+            if not owner:
+                continue
+            n = np.array(length)
+            stop = np.cumsum(n)
+            line, halves = line_keys(known.of(words), stop - n, stop)
+            ends = np.concatenate(([0], np.cumsum(np.where(n >= near_words, 4, 0)))).astype(np.int32)
+            shared = pa.ListArray.from_arrays(pa.array(ends), _signed(halves[n >= near_words].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [_signed(line), part.column(key).take(pa.array(owner, pa.int32())), pa.array(number, pa.int32()), pa.array(halves, pa.list_(pa.int64()))],
-                ["line", "doc", "no", "halves"],
+                [_signed(line), part.column(key).take(pa.array(owner, pa.int32())), pa.array(number, pa.int32()), shared], ["line", "doc", "no", "halves"]
             )
 
     kind = docs.schema[key].dataType.simpleString()
@@ -149,6 +163,7 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     seen = scratch.keep(seen)
     halves = lines.where(F.size("halves") > 0).select("line", F.explode("halves").alias("half")).distinct().repartition("half")
     shared = halves.groupBy("half").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("half")
+    scratch.tidy()
     near = scratch.keep(halves.join(shared, "half", "left_semi").select("line").distinct().join(seen, "line"))
     wanted = near.select(F.col("first.doc").alias(key), F.col("first.no").alias("no")).groupBy(key).agg(F.collect_set("no").alias("wanted"))
     words = scratch.keep(_words(docs.select(key, text).join(wanted, key), key, text).dropDuplicates(["line"]).join(near.select("line", "first"), "line"))
