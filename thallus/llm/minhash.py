@@ -190,6 +190,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int
     told = told.select("bucket", "id", "n", "core").join(degree, "id")
     live = scratch.keep(_crowded(told.select("bucket", "id", F.col("id").alias("root"), "degree", "n", "core")))
     scratch.drop(members)
+    scratch.tidy()
     links, tested, roots, leaders_per_bucket = None, None, None, 1
     while live.limit(1).count():
         # texts of small components first, and among them those that meet many others: the centre of a family
@@ -216,6 +217,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int
         rest = rest.select("bucket", "id", F.coalesce("root", "id").alias("root"), "degree", "n", "core")
         after = scratch.keep(_crowded(rest, "root"))
         scratch.drop(live, leaders)
+        scratch.tidy()
         live, leaders_per_bucket = after, leaders_per_bucket * 2
     placed = sketched.select(key, "n_shingles", "set_key").join(classes, "set_key", "left")
     if roots is not None:
