@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import classes
 from ..functions.numeric import log_gamma
@@ -41,6 +42,8 @@ def rarefy(counts: DataFrame, depth: int, seed: int = 67) -> DataFrame:
     sample, however deep.  Should a sample ever fall short, the job fails instead of
     returning fewer reads.
     """
+    negative = F.raise_error(F.concat(F.lit("rarefy: negative count of "), F.col("feature").cast("string")))
+    counts = counts.where(F.when(F.col("n") < 0, negative.cast("boolean")).otherwise(F.col("n") > 0))
     totals = seq_depth(counts).where(F.col("depth") >= depth)
     fraction = F.lit(depth + 10 * depth**0.5 + 64) / F.col("depth")
     cut = F.when(fraction < 1, F.lower(F.lpad(F.hex(F.floor(fraction * 16**MD5_HEX)), MD5_HEX, "0"))).otherwise("g")
@@ -325,8 +328,7 @@ def kept_by_step(steps: Mapping[str, DataFrame]) -> DataFrame:
 def summarise_numeric(df: DataFrame, fns: Sequence[str] = ("mean", "sd"), by: Sequence[str] = ()) -> DataFrame:
     """Every numeric column summarised, named ``{column}_{function}``; missing values are ignored."""
     functions = {"mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
-    numeric = ("double", "float", "int", "bigint", "smallint", "tinyint")
-    columns = [c for c, kind in df.dtypes if kind in numeric and c not in by]
+    columns = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in by]
     return df.groupBy(*by).agg(*[functions[f](c).alias(f"{c}_{f}") for c in columns for f in fns])
 
 

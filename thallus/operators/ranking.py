@@ -81,16 +81,17 @@ def bh_adjust(df: DataFrame, p: str = "p_value", by: Sequence[str] = (), out: st
         following = ascending.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         adjusted = tested.withColumn(out, F.least(F.min("_q").over(following), F.lit(1.0))).drop("_q")
         return adjusted.unionByName(untested)
-    # equal p-values are spread by a hash of their row, so they need not share a slice
-    spread = tested.withColumn("_tie", F.xxhash64(*tested.columns)).withColumn("_one", F.lit(1).cast("long"))
-    placed = running_totals(spread, [p, "_tie"], ["_one"], by)
-    family = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_m"))
-    placed = attach(placed, family, by).withColumn("_q", F.col(p) * F.col("_m") / (F.col("before__one") + 1))
+    # equal p-values share a rank (the last of them), so each distinct one is counted once
+    counted = tested.groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_totals(counted, [p], ["_n"], by)
+    family = placed.groupBy(*by).agg(F.sum("_n").alias("_m"))
+    placed = attach(placed, family, by).withColumn("_q", F.col(p) * F.col("_m") / (F.col("before__n") + F.col("_n")))
     lowest = placed.groupBy(*by, SLICE).agg(F.min("_q").alias("_low"))
     later = Window.partitionBy(*by).orderBy(F.desc(SLICE)).rowsBetween(*_ALL_BEFORE)
     lowest = lowest.select(*by, SLICE, F.min("_low").over(later).alias("_later"))
-    inside = Window.partitionBy(*by, SLICE).orderBy(F.desc(p), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, SLICE).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     adjusted = null_safe_join(placed, lowest, [*by, SLICE], "inner").withColumn(
         out, F.least(F.min("_q").over(inside), F.col("_later"), F.lit(1.0))
     )
-    return adjusted.select(*df.columns, out).unionByName(untested)
+    valued = null_safe_join(tested, adjusted.select(*by, p, out), [*by, p], "inner")
+    return valued.select(*df.columns, out).unionByName(untested)

@@ -6,6 +6,7 @@ splits the hot keys of the shuffled joins that remain.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -87,7 +88,7 @@ def strip_prefix(df: DataFrame, col: str, prefix: str) -> DataFrame:
 def filter_reference(df: DataFrame, col: str, any_of: Sequence[str], none_of: Sequence[str]) -> DataFrame:
     """Rows whose text names any of one list and none of another, ignoring case."""
     def named(words: Sequence[str]) -> Column:
-        return F.col(col).rlike(r"(?i)\b(" + "|".join(words) + r")\b")
+        return F.col(col).rlike(r"(?i)(?<!\w)(" + "|".join(map(re.escape, words)) + r")(?!\w)")
 
     return df.where(named(any_of) & ~named(none_of))
 
