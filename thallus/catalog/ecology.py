@@ -236,7 +236,7 @@ _TOTAL = " + ".join(f"coalesce(\"mean_{g}\", 0)" for g in _PROFILE_GROUPS)
 
 
 @query("group_profile", f"""WITH {{fixtures}}, cs AS (SELECT sample, concat(species, '_', time) AS grp FROM samples SEMI JOIN rel USING (sample) WHERE stand = 'C'),
-    p AS (SELECT feature, {_PROFILE} FROM rel JOIN cs USING (sample) GROUP BY 1)
+    p AS (SELECT feature, {_PROFILE} FROM rel LEFT JOIN cs USING (sample) GROUP BY 1)
     SELECT p.*, ({_TOTAL}) / nullif({_PRESENT}, 0) AS global_mean, t.genus, t.family FROM p LEFT JOIN tax t USING (feature)""", doubles="mean_A_June20 mean_T_June20 mean_A_Jan21 mean_T_Jan21 global_mean")
 def _(t):
     controls = t.samples.where("stand = 'C'")
@@ -295,9 +295,9 @@ def _(t):
 
 
 @query("trend_line", """SELECT time, count(*) AS n, regr_slope(te, ecm) AS slope, regr_intercept(te, ecm) AS intercept, regr_r2(te, ecm) AS r2 FROM (
-    SELECT sample, max(abundance) FILTER (guild = 'Ectomycorrhizal') AS ecm, max(abundance) FILTER (guild = 'TotalEndophyte') AS te FROM guilds GROUP BY 1)
+    SELECT sample, coalesce(max(abundance) FILTER (guild = 'Ectomycorrhizal'), 0) AS ecm, coalesce(max(abundance) FILTER (guild = 'TotalEndophyte'), 0) AS te FROM guilds GROUP BY 1)
     JOIN eligible USING (sample) WHERE species = 'T' GROUP BY 1""", doubles="slope intercept r2")
 def _(t):
-    wide = relational.pivot_unique(t.guilds, ["sample"], "guild", "abundance", ["Ectomycorrhizal", "TotalEndophyte"])
+    wide = relational.pivot_unique(t.guilds, ["sample"], "guild", "abundance", ["Ectomycorrhizal", "TotalEndophyte"], fill=0.0)
     joined = wide.join(relational.eligible_samples(t.samples).where("species = 'T'"), "sample")
     return summaries.trend_line(joined, "Ectomycorrhizal", "TotalEndophyte", ["time"])

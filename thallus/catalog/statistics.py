@@ -22,6 +22,26 @@ def _(t):
     return models.lm(t.meas, "ecm", ["height"], by=["species"]).select("species", "coefficient", "estimate", "std_error", "sigma", "r_squared")
 
 
+# the moments of the doubled model matrix 1, am, height, am * height by elimination: residualise on (1, am), then (height), then the product
+@query("lm_interaction", """WITH {fixtures}, r AS (SELECT species, ecm AS y, am AS a, height AS b, am * height AS ab FROM meas WHERE ecm IS NOT NULL AND am IS NOT NULL AND height IS NOT NULL),
+    s AS (SELECT species, regr_slope(y, a) AS ya, regr_intercept(y, a) AS y0, regr_slope(b, a) AS ba, regr_intercept(b, a) AS b0, regr_slope(ab, a) AS ca, regr_intercept(ab, a) AS c0 FROM r GROUP BY 1),
+    e AS (SELECT species, y - y0 - ya * a AS y, b - b0 - ba * a AS b, ab - c0 - ca * a AS c FROM r JOIN s USING (species)),
+    u AS (SELECT species, sum(y * b) / sum(b * b) AS yb, sum(c * b) / sum(b * b) AS cb FROM e GROUP BY 1),
+    v AS (SELECT species, sum((y - yb * b) * (c - cb * b)) / sum((c - cb * b) ** 2) AS k FROM e JOIN u USING (species) GROUP BY 1)
+    SELECT species, 'am:height' AS coefficient, k AS estimate FROM v UNION ALL SELECT species, 'height', yb - k * cb FROM v JOIN u USING (species)""", doubles="estimate")
+def _(t):
+    fitted = models.lm(t.meas, "ecm", ["am", "height", "am:height"], by=["species"])
+    return fitted.where("coefficient IN ('height', 'am:height')").select("species", "coefficient", "estimate")
+
+
+@query("p_adjust_bh_ties", """WITH p AS (SELECT p_brand, round(p_retailprice / 2500, 2) AS p FROM part),
+    k AS (SELECT *, p * count(*) OVER (PARTITION BY p_brand) / (count(*) OVER (PARTITION BY p_brand ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM p)
+    SELECT p_brand, p, least(1e0, min(q) OVER (PARTITION BY p_brand ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adj FROM k""", doubles="p p_adj")
+def _(t):
+    tested = t.read("part").select("p_brand", F.round(F.col("p_retailprice") / 2500, 2).alias("p"))
+    return ranking.bh_adjust(tested, "p", ["p_brand"])
+
+
 @query("anova_oneway", f"""WITH {{fixtures}}, {_ROOTS}, c AS (SELECT time, species, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM r GROUP BY 1, 2),
     g AS (SELECT time, avg(y) AS gm FROM r GROUP BY 1),
     s AS (SELECT time, sum(c.n * (c.m - g.gm) ** 2) AS ssb, sum(c.ss) AS ssw, count(*) AS k, CAST(sum(c.n) AS DOUBLE) AS n FROM c JOIN g USING (time) GROUP BY 1)

@@ -126,10 +126,10 @@ def _(t):
     return t.microscopy
 
 
-@query("pivot", """SELECT sample, max(abundance) FILTER (guild = 'Ectomycorrhizal') AS "guild_Ectomycorrhizal", max(abundance) FILTER (guild = 'Other') AS "guild_Other"
+@query("pivot", """SELECT sample, coalesce(max(abundance) FILTER (guild = 'Ectomycorrhizal'), 0) AS "guild_Ectomycorrhizal", coalesce(max(abundance) FILTER (guild = 'Other'), 0) AS "guild_Other"
     FROM guilds GROUP BY 1""", doubles="guild_Ectomycorrhizal guild_Other")
 def _(t):
-    return relational.pivot_unique(t.guilds, ["sample"], "guild", "abundance", ["Ectomycorrhizal", "Other"], "guild_")
+    return relational.pivot_unique(t.guilds, ["sample"], "guild", "abundance", ["Ectomycorrhizal", "Other"], "guild_", fill=0.0)
 
 
 @query("transpose", """SELECT taxon, max(total) FILTER (time = 'June20') AS "June20", max(total) FILTER (time = 'Jan21') AS "Jan21" FROM (
@@ -141,9 +141,9 @@ def _(t):
 
 @query("state_transition", """SELECT pot, max(state) FILTER (time = 'June20') AS "June20", max(state) FILTER (time = 'Jan21') AS "Jan21" FROM (
     SELECT pot, time, CASE WHEN ecm > 0.2 THEN 'EM' ELSE 'NM' END AS state FROM (
-      SELECT sample, max(abundance) FILTER (guild = 'Ectomycorrhizal') AS ecm FROM guilds GROUP BY 1) JOIN eligible USING (sample)) GROUP BY 1""")
+      SELECT sample, coalesce(max(abundance) FILTER (guild = 'Ectomycorrhizal'), 0) AS ecm FROM guilds GROUP BY 1) JOIN eligible USING (sample)) GROUP BY 1""")
 def _(t):
-    wide = relational.pivot_unique(t.guilds, ["sample"], "guild", "abundance", ["Ectomycorrhizal"])
+    wide = relational.pivot_unique(t.guilds, ["sample"], "guild", "abundance", ["Ectomycorrhizal"], fill=0.0)
     state = F.when(F.col("Ectomycorrhizal") > 0.2, "EM").otherwise("NM").alias("state")
     rows = wide.join(relational.eligible_samples(t.samples), "sample").select("pot", "time", state)
     return relational.state_transition(rows, "pot", "time", "state", TIMES)

@@ -174,12 +174,13 @@ def group_profile(
     """Mean and non-zero count per treatment side by side, the mean of means, and taxonomy, per feature.
 
     ``groups`` lists the treatment labels (``by`` values joined with ``_``); one pivoted
-    aggregation yields both measures.
+    aggregation yields both measures.  Every feature of ``rel`` has its row, also one that none
+    of ``samples`` holds (means and counts of 0).
     """
-    observed = keep_in(samples, rel.select("sample"), "sample").select("sample", F.concat_ws("_", *by).alias("grp"))
+    observed = keep_in(samples, rel.select("sample"), "sample").select("sample", F.concat_ws("_", *by).alias("grp")).where(F.col("grp").isin(list(groups)))
     sizes = observed.groupBy("grp").agg(F.count(F.lit(1)).alias("samples")).agg(F.map_from_entries(F.collect_list(F.struct("grp", "samples")))).scalar()
     v = F.col(value).cast("double")
-    wide = rel.join(observed, "sample").groupBy("feature").pivot("grp", list(groups)).agg(F.sum(v).alias("sum"), F.count_if(v != 0).alias("count"))
+    wide = rel.join(observed, "sample", "left").groupBy("feature").pivot("grp", list(groups)).agg(F.sum(v).alias("sum"), F.count_if(v != 0).alias("count"))
     sized = wide.withColumn("_sizes", sizes)
     means = {g: F.try_divide(F.coalesce(F.col(f"{g}_sum"), F.lit(0.0)), F.col("_sizes")[g]) for g in groups}
     total = sum((F.coalesce(m, F.lit(0.0)) for m in means.values()), F.lit(0.0))

@@ -36,32 +36,49 @@ def variables(df: DataFrame, terms: Sequence[str]) -> tuple[list[str], list[str]
     return factors, [v for v in names if v not in factors]
 
 
-def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in cols]))
+def complete_cases(df: DataFrame, cols: Sequence[str], levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """Rows that have all ``cols``; a value outside its factor's ``levels`` counts as missing."""
+    present = [F.col(c).isNotNull() for c in cols]
+    listed = [F.col(c).isin(list(levels[c])) for c in cols if c in levels] if levels else []
+    return df.where(reduce(Column.__and__, [*present, *listed]))
 
 
-def cell_moments(df: DataFrame, y: str, factors: Sequence[str], covariates: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Count, means and centred cross products of y and the covariates per cell.
+def products(terms: Sequence[str], covariates: Sequence[str]) -> list[str]:
+    """The numeric part of each term (``a:b`` is the product of two covariates), each once."""
+    parts = (":".join(v for v in t.split(":") if v in covariates) for t in terms)
+    return list(dict.fromkeys(p for p in parts if p))
+
+
+def product_column(part: str) -> Column:
+    return reduce(Column.__mul__, [F.col(v).cast("double") for v in part.split(":")])
+
+
+def cell_moments(
+    df: DataFrame, y: str, factors: Sequence[str], covariates: Sequence[str], by: Sequence[str],
+    terms: Sequence[str] | None = None, levels: Mapping[str, Sequence] | None = None,
+) -> DataFrame:
+    """Count, means and centred cross products of y and the numeric parts of ``terms`` (the covariates by default) per cell.
 
     Spark's central-moment aggregates merge without cancellation and combine map-side.
     """
-    used = complete_cases(df, [y, *factors, *covariates])
-    numbers = [y, *covariates]
-    means = [F.avg(F.col(v).cast("double")).alias(f"m{i}") for i, v in enumerate(numbers)]
-    products = [
-        (F.covar_pop(F.col(numbers[i]).cast("double"), F.col(numbers[j]).cast("double")) * F.count(F.lit(1))).alias(f"c{i}_{j}")
+    used = complete_cases(df, [y, *factors, *covariates], levels)
+    numbers = [F.col(y).cast("double"), *map(product_column, products(terms if terms is not None else covariates, covariates))]
+    means = [F.avg(v).alias(f"m{i}") for i, v in enumerate(numbers)]
+    crossed = [
+        (F.covar_pop(numbers[i], numbers[j]) * F.count(F.lit(1))).alias(f"c{i}_{j}")
         for i, j in combinations_with_replacement(range(len(numbers)), 2)
     ]
-    return used.groupBy(*by, *factors).agg(F.count(F.lit(1)).cast("double").alias("n"), *means, *products)
+    return used.groupBy(*by, *factors).agg(F.count(F.lit(1)).cast("double").alias("n"), *means, *crossed)
 
 
 class _Columns:
-    """Model columns of one group: per cell a factor part, times at most one covariate."""
+    """Model columns of one group: per cell a factor part, times at most one numeric part."""
 
     def __init__(self, cells: pd.DataFrame, factors, covariates, terms, levels, centre: bool):
         n = cells["n"].to_numpy(float)
         self.n, self.terms = n, list(terms)
-        self.means = [cells[f"m{i}"].to_numpy(float) for i in range(len(covariates) + 1)]
+        numeric = products(self.terms, covariates)
+        self.means = [cells[f"m{i}"].to_numpy(float) for i in range(len(numeric) + 1)]
         self.shift = [float(np.average(m, weights=n)) if centre or i == 0 else 0.0 for i, m in enumerate(self.means)]
         self.means = [m - s for m, s in zip(self.means, self.shift)]
         self.within = {}
@@ -70,10 +87,11 @@ class _Columns:
         ones = np.ones(len(cells))
         self.names, self.owner, self.parts = ["(Intercept)"], [-1], [(ones, None)]
         for t, term in enumerate(self.terms):
-            built = [("", ones, None)]
+            part = ":".join(v for v in term.split(":") if v in covariates)
+            built = [("", ones, numeric.index(part) + 1 if part else None)]
             for v in term.split(":"):
                 if v in covariates:
-                    built = [(f"{a}:{v}".lstrip(":"), d, covariates.index(v) + 1) for a, d, _ in built]
+                    built = [(f"{a}:{v}".lstrip(":"), d, z) for a, d, z in built]
                 else:
                     seen = sorted(cells[v].unique(), key=str)
                     order = [lv for lv in levels.get(v, seen) if lv in set(seen)]
@@ -169,7 +187,7 @@ def lm(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = (), leve
 
     fields = ("coefficient string, estimate double, std_error double, t_value double, p_value double, "
               "df double, sigma double, r_squared double, n double")
-    return _by_group(cell_moments(df, y, factors, covariates, by), by, solve, fields)
+    return _by_group(cell_moments(df, y, factors, covariates, by, terms, levels), by, solve, fields)
 
 
 def anova(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = (), levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -198,24 +216,25 @@ def anova(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = (), l
         rows.append(dict(term="Residuals", sum_sq=full, df=float(dof), f_value=None, p_value=None))
         return rows
 
-    return _by_group(cell_moments(df, y, factors, covariates, by), by, solve, "term string, sum_sq double, df double, f_value double, p_value double")
+    return _by_group(cell_moments(df, y, factors, covariates, by, terms, levels), by, solve, "term string, sum_sq double, df double, f_value double, p_value double")
 
 
 def residuals(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = (), levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Rows used by the fit, with ``fitted`` and ``residual``.  Each cell gets a base value
-    and one slope per covariate; only those small rows are joined back."""
+    and one slope per numeric part; only those small rows are joined back."""
     factors, covariates = variables(df, terms)
     levels = dict(levels or {})
-    cells = cell_moments(df, y, factors, covariates, by)
+    numeric = products(terms, covariates)
+    cells = cell_moments(df, y, factors, covariates, by, terms, levels)
     keys = [*_ordered(by, cells), *factors]
-    slopes = [f"_s{i}" for i in range(len(covariates))]
+    slopes = [f"_s{i}" for i in range(len(numeric))]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         model = _Columns(pdf, factors, covariates, terms, levels, centre=False)
         _, kept = model.rss(model.of_terms(range(len(terms))))
         beta = np.linalg.solve(model.gram[np.ix_(kept, kept)], model.gram[kept, len(model.parts) - 1])
         out = pdf[keys].copy()
-        columns = {None: np.full(len(pdf), model.shift[0]), **{i + 1: np.zeros(len(pdf)) for i in range(len(covariates))}}
+        columns = {None: np.full(len(pdf), model.shift[0]), **{i + 1: np.zeros(len(pdf)) for i in range(len(numeric))}}
         for b, j in zip(beta, kept):
             d, z = model.parts[j]
             columns[z] = columns[z] + b * d
@@ -227,11 +246,11 @@ def residuals(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = (
     schema = _head_schema(cells, keys) + ", ".join(f"{c} double" for c in ["_base", *slopes])
     schema_order = [c for c in cells.columns if c in keys]
     fits = cells.groupBy(*[k for k in keys if k in by]).applyInPandas(lambda pdf: solve(pdf)[[*schema_order, "_base", *slopes]], schema)
-    used = complete_cases(df, [y, *factors, *covariates])
+    used = complete_cases(df, [y, *factors, *covariates], levels)
     joined = attach(used, fits, keys)
     fitted = F.col("_base")
-    for s, v in zip(slopes, covariates):
-        fitted = fitted + F.col(s) * F.col(v)
+    for s, part in zip(slopes, numeric):
+        fitted = fitted + F.col(s) * product_column(part)
     return joined.withColumn("fitted", fitted).withColumn("residual", F.col(y) - F.col("fitted")).drop("_base", *slopes)
 
 
@@ -277,22 +296,25 @@ def lmm(
     ``table='fixed'``: coefficients, variances and fit; ``table='wald'``: Type II Wald
     chi-square per term.  Subjects enter as sums, which are pooled by subject size: with
     s, t the sums of a subject of n rows, ``V⁻¹ = I - θ/(1+nθ) 11'`` needs only the pooled
-    ss', st and t².
+    ss', st and t².  The response is centred first, so that a large mean does not cancel in the
+    sums; covariates enter as they are.
     """
     factors, covariates = variables(df, terms)
-    used = complete_cases(df, [y, subject, *factors, *covariates])
+    used = complete_cases(df, [y, subject, *factors, *covariates], levels)
+    middle = used.groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("_middle"))
+    used = attach(used, middle, by)
     names, owner, columns = _design(terms, factors, factor_levels(used, factors, levels))
     k = len(columns)
     every = [*[f"x{i}" for i in range(k)], "y_"]
     pairs = list(combinations_with_replacement(range(k + 1), 2))
-    wide = used.select(*by, F.col(subject).alias("_subject"), *[c.alias(f"x{i}") for i, c in enumerate(columns)], F.col(y).cast("double").alias("y_"))
+    wide = used.select(*by, F.col(subject).alias("_subject"), *[c.alias(f"x{i}") for i, c in enumerate(columns)], (F.col(y).cast("double") - F.col("_middle")).alias("y_"), "_middle")
     per_subject = wide.groupBy(*by, "_subject").agg(
-        F.count(F.lit(1)).alias("size"),
+        F.count(F.lit(1)).alias("size"), F.max("_middle").alias("_middle"),
         *[F.sum(v).alias(f"s_{v}") for v in every],
         *[F.sum(F.col(every[i]) * F.col(every[j])).alias(f"p{i}_{j}") for i, j in pairs],
     )
     pooled = per_subject.groupBy(*by, "size").agg(
-        F.count(F.lit(1)).cast("double").alias("subjects"),
+        F.count(F.lit(1)).cast("double").alias("subjects"), F.max("_middle").alias("_middle"),
         *[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in pairs],
         *[F.sum(F.col(f"s_{every[i]}") * F.col(f"s_{every[j]}")).alias(f"q{i}_{j}") for i, j in pairs],
     )
@@ -348,6 +370,7 @@ def lmm(
         theta, deviance, beta, xx, rest = solved
         error = rest / dof
         se = np.sqrt(np.diag(np.linalg.inv(xx)) * error)
+        beta = beta + np.array([float(pdf["_middle"].max()) if j == 0 else 0.0 for j in kept])
         reml = deviance + dof * (1 + math.log(2 * math.pi / dof))
         return [
             dict(coefficient=names[j], estimate=beta[i], std_error=se[i], t_value=beta[i] / se[i], var_subject=theta * error,

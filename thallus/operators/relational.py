@@ -136,14 +136,19 @@ def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str,
 
 
 def pivot_unique(
-    df: DataFrame, ids: Sequence[str], col: str, value: str, values: Sequence[str], prefix: str = ""
+    df: DataFrame, ids: Sequence[str], col: str, value: str, values: Sequence[str], prefix: str = "", fill: float | str | None = None
 ) -> DataFrame:
-    """Long to wide with known column values; a repeated (ids, col) fails as it has no single value."""
+    """Long to wide with known column values; a repeated (ids, col) fails as it has no single value.
+
+    ``fill`` stands for what the long table leaves out, as in a table that lists no zeros.
+    """
     single = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"more than one {value} for the same {col}"))).otherwise(
         F.first(value)
     )
     kind = dict(df.dtypes)[value]
     wide = df.groupBy(*ids).pivot(col, list(values)).agg(single.cast(kind))
+    if fill is not None:
+        wide = wide.withColumns({v: F.coalesce(F.col(f"`{v}`"), F.lit(fill).cast(kind)) for v in values})
     return wide.withColumnsRenamed({v: f"{prefix}{v}" for v in values})
 
 
