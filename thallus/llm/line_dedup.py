@@ -161,13 +161,14 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     lines = scratch.keep(_lines(docs, key, text, min_words, near_words))
     seen = lines.groupBy("line").agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
     seen = scratch.keep(seen)
-    halves = lines.where(F.size("halves") > 0).select("line", F.explode("halves").alias("half")).distinct().repartition("half")
+    halves = lines.where(F.size("halves") > 0).select("line", F.explode("halves").alias("half")).where("half IS NOT NULL").distinct().repartition("half")
     shared = halves.groupBy("half").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("half")
     scratch.tidy()
     near = scratch.keep(halves.join(shared, "half", "left_semi").select("line").distinct().join(seen, "line"))
     wanted = near.select(F.col("first.doc").alias(key), F.col("first.no").alias("no")).groupBy(key).agg(F.collect_set("no").alias("wanted"))
     words = scratch.keep(_words(docs.select(key, text).join(wanted, key), key, text).dropDuplicates(["line"]).join(near.select("line", "first"), "line"))
-    rows = words.select("line", "first", "words").mapInArrow(_variant_rows, f"key long, role int, line long, first struct<doc: {kind}, no: int>").repartition("key")
+    rows = words.select("line", "first", "words").mapInArrow(_variant_rows, f"key long, role int, line long, first struct<doc: {kind}, no: int>").where("key IS NOT NULL").repartition("key")
+    # keys are never null: said here, both uses of the rows share one shuffle
     best = [F.min(F.when(F.col("role") == r, F.struct("first", "line"))).alias(f"m{r}") for r in (0, 1, 2)]
     told = rows.groupBy("key").agg(*best, F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").drop("lo", "hi")
     met = rows.join(told, "key").select("line", "first", F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1")).alias("m"))
