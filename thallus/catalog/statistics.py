@@ -22,7 +22,7 @@ def _(t):
     return models.lm(t.meas, "ecm", ["height"], by=["species"]).select("species", "coefficient", "estimate", "std_error", "sigma", "r_squared")
 
 
-# the moments of the doubled model matrix 1, am, height, am * height by elimination: residualise on (1, am), then (height), then the product
+# least squares by elimination: residuals on (1, am), of those on height, then the slope on what is left of the product
 @query("lm_interaction", """WITH {fixtures}, r AS (SELECT species, ecm AS y, am AS a, height AS b, am * height AS ab FROM meas WHERE ecm IS NOT NULL AND am IS NOT NULL AND height IS NOT NULL),
     s AS (SELECT species, regr_slope(y, a) AS ya, regr_intercept(y, a) AS y0, regr_slope(b, a) AS ba, regr_intercept(b, a) AS b0, regr_slope(ab, a) AS ca, regr_intercept(ab, a) AS c0 FROM r GROUP BY 1),
     e AS (SELECT species, y - y0 - ya * a AS y, b - b0 - ba * a AS b, ab - c0 - ca * a AS c FROM r JOIN s USING (species)),
