@@ -231,6 +231,16 @@ def test_packing(spark, corpus, empty):
     assert packing.pack(scratch.keep(packing.pieces(empty, path)), scratch).count() == 0
 
 
+def test_word_encoder(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    monkeypatch.setattr(packing, "WORDS_HELD", 5)
+    texts = ["<|ENDOFTEXT|> A", "x<|endoftext|>y <|StartOfText|>", "H\u0331 h\u0331 A\u030a \u0130I ΣΑΣ", "end, &&& it's. 5.! …, é,; a1b2,' 日本語ab ʰx ², x\u0301,", None, "", *(f"Again w{k} It'S {k % 3}" for k in range(20))]
+    for some in (texts, texts[::-1], texts):
+        for text, ids in zip(some, encoder.encode([t and t.encode() for t in some]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_cutting_stock():
     counts = {100: 40, 156: 40, 128: 11, 7: 300, 250: 3}
     plan = packing.cutting_stock(counts, 256)

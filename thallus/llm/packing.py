@@ -16,8 +16,11 @@ null doc_id stays null; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import string
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -30,34 +33,75 @@ from .common import ranked, text_slices
 SEQUENCE = 2048
 CLASSES = 256
 WORDS_HELD = 500_000
+MARKS = string.punctuation.encode()
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
     """Token ids (little-endian 32-bit) of a text, for vocabularies that drop white space and lower-case.
 
-    Nothing crosses white space there, so each distinct word goes through the library once.
+    Nothing crosses white space there, so each distinct word goes through the library once.  A-Z
+    are lower-cased before that, but not in texts where this could make a special string or, with
+    combining marks (lead bytes CC and CD), a letter that only the lower case has.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.held = Tokenizer.from_file(path), {}
+        self.tokenizer, self.held, self.older = Tokenizer.from_file(path), {}, {}
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def _ids(self, words: list[bytes]) -> list[list[int]]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [e.ids for e in found]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters as one text: each ends with its only closing token, or they go one by one."""
+        ids = np.array(self._ids([b" ".join(words)])[0], "<u4")
+        stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(stops) != len(words):
+            return self._apart(words)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def _apart(self, words: list[bytes]) -> list[bytes]:
+        return [struct.pack(f"<{len(i)}I", *i) for i in self._ids(words)]
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.held) + len(words) > WORDS_HELD:
-            self.held.clear()
-        new = [w for w in words if w not in self.held]
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.held.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+        """Marks after a letter or digit are runs of their own, so they and what stands before them are learnt instead."""
+        cut = {}
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core != w and core[-1:].isalnum() and not any(s in w for s in self.special):
+                cut[w] = core
+        new = (words - cut.keys()).union(cut.values(), (w[len(core) :] for w, core in cut.items())) - self.held.keys()
+        again = new & self.older.keys()
+        self.held.update((w, self.older[w]) for w in again)
+        letters, others = [], []
+        for w in new - again:
+            (letters if w.decode().isalpha() else others).append(w)
+        for some, method in ((letters, self._together), (others, self._apart)):
+            for at in range(0, len(some), 1024):
+                part = some[at : at + 1024]
+                self.held.update(zip(part, method(part), strict=True))
+        self.held.update((w, self.held[core] + self.held[w[len(core) :]]) for w, core in cut.items())
+
+    def words(self, text: bytes | None) -> list[bytes]:
+        low = (text or b"").lower()
+        return (text if any(s in low for s in (b"\xcc", b"\xcd", *self.special)) else low).split()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().lower().split() for t in texts]
-        self.learn(set().union(*split))
-        held = self.held
-        return [b"".join([held[w] for w in words]) for words in split]
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        split = [self.words(t) for t in texts]
+        if len(self.held) > WORDS_HELD:
+            self.held, self.older = {}, self.held  # words in use come back from the older half
+        new = set(filterfalse(self.held.__contains__, chain.from_iterable(split)))
+        again = new & self.older.keys()
+        self.held.update((w, self.older[w]) for w in again)
+        self.learn(new - again)
+        return [b"".join(map(self.held.__getitem__, words)) for words in split]
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -78,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str, closing: int = 1, size: int = SEQUEN
         encoder = _encoder(tokenizer)
         for part in text_slices(batches, text):
             owner, start, length, crc, total = [], [], [], [], []
-            for row, ids in enumerate(encoder.encode(part.column(text).to_pylist())):
+            for row, ids in enumerate(encoder.encode(part.column(text).cast(pa.large_binary()).to_pylist())):
                 ids += end
                 for at in range(0, len(ids), step):
                     piece = ids[at : at + step]
