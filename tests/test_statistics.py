@@ -229,6 +229,25 @@ def test_shapiro_known_values(spark):
     assert got["few"].w is None and got["few"].n == 2
 
 
+def test_shapiro_has_no_size_limit(spark):
+    from statistics import NormalDist
+
+    rng = np.random.default_rng(4)
+    x = np.sort(np.concatenate([rng.normal(size=7000).round(3), np.full(5000, 0.25)]))  # one value fills several runs
+    n = len(x)
+    df = spark.createDataFrame([(float(v),) for v in rng.permutation(x)], "x double")
+    got = hypothesis.shapiro(df, "x").first()
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    a = m / np.sqrt(m @ m)
+    u = n**-0.5
+    outer = np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, a[-1]], u)
+    second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, a[-2]], u)
+    a = m / np.sqrt((m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * outer**2 - 2 * second**2))
+    a[[0, 1, -2, -1]] = -outer, -second, second, outer
+    assert got.n == n and not got.in_range and got.p_value is None
+    assert got.w == pytest.approx((a @ x) ** 2 / ((x - x.mean()) ** 2).sum(), rel=1e-9)
+
+
 def test_histogram_and_boxes(spark):
     rng = np.random.default_rng(8)
     x = np.round(rng.exponential(size=200), 2)

@@ -9,16 +9,17 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
 from .models import factor_levels
-from .ranking import bh_adjust, running_totals
+from .ranking import bh_adjust, running_totals, value_counts
 from .relational import attach
 
 EXACT_BELOW = 50
 SHAPIRO_MIN, SHAPIRO_MAX = 3, 5000
+RANK_RUN = 4096
 
 
 def pairwise_wilcox(df: DataFrame, y: str, g: str, by: Sequence[str] = (), levels: Sequence[str] | None = None) -> DataFrame:
@@ -104,32 +105,29 @@ def histogram(df: DataFrame, x: str, bins: int | None = None, by: Sequence[str]
     )
 
 
-def _royston(values: np.ndarray) -> tuple[float, float]:
-    """Shapiro-Wilk W and p after Royston (1995)."""
-    x = np.sort(values)
-    n = len(x)
-    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    u, norm = 1 / math.sqrt(n), float(m @ m)
-    a = m / math.sqrt(norm)
+def _royston(n: int, normed: float, weighted: float, spread: float, outer_gap: float, inner_gap: float) -> tuple[float, float]:
+    """Shapiro-Wilk W and p after Royston (1995), from sums over ranks.
+
+    ``normed`` and ``weighted`` are the sums of m² and m·x with m the normal scores; the gaps lie
+    between the largest and smallest, second largest and second smallest value.
+    """
+    if spread <= 0:
+        return math.nan, math.nan
+    u = 1 / math.sqrt(n)
+    last, before = (NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in (n, n - 1))
     if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+        total = math.sqrt(0.5) * outer_gap
     else:
         # fixed values: Royston's polynomials for the outer weights
-        outer = float(np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, a[-1]], u))
+        outer = float(np.polyval([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, last / math.sqrt(normed)], u))
+        total, rest, norm = outer * outer_gap, weighted - last * outer_gap, normed - 2 * last**2
+        left = 1 - 2 * outer**2
         if n > 5:
-            second = float(np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, a[-2]], u))
-            phi = (norm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * outer**2 - 2 * second**2)
-            a = m / math.sqrt(phi)
-            a[-2], a[1] = second, -second
-        else:
-            phi = (norm - 2 * m[-1] ** 2) / (1 - 2 * outer**2)
-            a = m / math.sqrt(phi)
-        a[-1], a[0] = outer, -outer
-    centred = x - x.mean()
-    spread = float(centred @ centred)
-    if spread <= 0:
-        return math.nan, math.nan
-    w = min(1.0, float(a @ x) ** 2 / spread)
+            second = float(np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, before / math.sqrt(normed)], u))
+            total, rest, norm = total + second * inner_gap, rest - before * inner_gap, norm - 2 * before**2
+            left -= 2 * second**2
+        total += rest / math.sqrt(norm / left)
+    w = min(1.0, total**2 / spread)
     if n == 3:
         return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     log_n = math.log(n)
@@ -147,24 +145,46 @@ def _royston(values: np.ndarray) -> tuple[float, float]:
     return w, 0.5 * math.erfc((z - mu) / sigma / math.sqrt(2))
 
 
+def _score_sums(first: pd.Series, length: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Sums of the normal scores, and of their squares, over ranks first .. first + length - 1 of n."""
+    quantile, rows = NormalDist().inv_cdf, []
+    for at, much, of in zip(first, length, n):
+        m = [quantile((i - 0.375) / (of + 0.25)) for i in range(at, at + much)]
+        rows.append((math.fsum(m), math.fsum(v * v for v in m)))
+    return pd.DataFrame(rows, columns=["one", "two"])
+
+
 def shapiro(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
-    """Shapiro-Wilk per group for 3 to 5000 values, the range the test is defined for.
+    """Shapiro-Wilk per group: ``w`` for groups of any size from 3 values on.
 
-    Groups are counted first; a group outside the range is reported with NULL results
-    and its values never reach a task.
+    Equal values are counted and ranked by running totals, a frequent one in runs of
+    ``RANK_RUN`` ranks, and W comes out of sums over ranks, so no task ever holds a group.  The
+    published p-value approximation ends at 5000 values: beyond, ``in_range`` is false and
+    ``p_value`` NULL.  Below 3 values both results are NULL.
     """
     used = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"))
-    sizes = used.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    sizes = used.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"), F.avg("_x").alias("_mean"), (F.var_pop("_x") * F.count(F.lit(1))).alias("_spread"))
+    placed = attach(value_counts(used, "_x", by), sizes, by)
+    runs = placed.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RANK_RUN))))
+    runs = runs.withColumn("_first", F.col("before_n") + 1 + F.col("_run") * RANK_RUN)
+    scores = F.pandas_udf(_score_sums, "one double, two double")
+    runs = runs.withColumn("_m", scores("_first", F.least(F.col("n") - F.col("_run") * RANK_RUN, F.lit(RANK_RUN)), "_size"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before_n") < rank) & (rank <= F.col("before_n") + F.col("n")), F.col("_x")))
+
+    size = F.col("_size")
+    sums = runs.groupBy(*by, "_size", "_spread").agg(
+        F.sum(F.col("_m.two")).alias("_normed"), F.sum(F.col("_m.one") * (F.col("_x") - F.col("_mean"))).alias("_weighted"),
+        (at(size) - at(F.lit(1))).alias("_outer"), (at(size - 1) - at(F.lit(2))).alias("_inner"),
+    )
+    names = ["_size", "_normed", "_weighted", "_spread", "_outer", "_inner"]
+
+    @F.pandas_udf("w double, p_value double")
+    def test(n: pd.Series, *given: pd.Series) -> pd.DataFrame:
+        rows = [_royston(int(k), *own) if k >= SHAPIRO_MIN else (None, None) for k, *own in zip(n, *given)]
+        return pd.DataFrame(rows, columns=["w", "p_value"], dtype="float64")
+
     in_range = F.col("n").between(SHAPIRO_MIN, SHAPIRO_MAX)
-    ready = attach(used, sizes, by).where(in_range)
-    head = [c for c in used.columns if c in by]
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = _royston(pdf["_x"].to_numpy(float))
-        out = pdf[head].head(1).reset_index(drop=True)
-        return out.assign(n=len(pdf), w=w, p_value=p)
-
-    schema = "".join(f"`{c}` {dict(used.dtypes)[c]}, " for c in head) + "n long, w double, p_value double"
-    tested = ready.groupBy(*head).applyInPandas(test, schema)
-    outside = sizes.where(~in_range).select(*head, "n", F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("p_value"))
-    return tested.unionByName(outside)
+    tested = sums.withColumn("_t", test(*names)).select(*by, F.col("_size").alias("n"), F.col("_t.w").alias("w"), F.col("_t.p_value").alias("_p"))
+    return tested.select(*by, "n", F.when(F.col("n") >= SHAPIRO_MIN, F.col("w")).alias("w"), F.when(in_range, F.col("_p")).alias("p_value"), in_range.alias("in_range"))
