@@ -229,6 +229,19 @@ def test_shapiro_known_values(spark):
     assert got["few"].w is None and got["few"].n == 2
 
 
+def test_rank_sums_of_many_groups(spark):
+    rng = np.random.default_rng(9)
+    y, g = rng.integers(0, 500, 4000), rng.integers(0, 201, 4000)
+    df = spark.createDataFrame([(float(a), f"g{b:03d}") for a, b in zip(y, g)], "y double, grp string")
+    rows = hypothesis.pairwise_wilcox(df, "y", "grp").collect()
+    assert len(rows) == 201 * 200 // 2
+    for r in rows[::997]:
+        a, b = (y[g == int(name[1:])] for name in (r.group1, r.group2))
+        assert r.group1 < r.group2 and (r.n1, r.n2) == (len(a), len(b))
+        assert r.w == (a[:, None] > b[None, :]).sum() + (a[:, None] == b[None, :]).sum() / 2
+    assert {(r.group1, r.group2) for r in hypothesis.pairwise_wilcox(df, "y", "grp", levels=["g005", "g001"]).collect()} == {("g005", "g001")}
+
+
 def test_shapiro_has_no_size_limit(spark):
     from statistics import NormalDist
 

@@ -4,54 +4,76 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from .models import factor_levels
-from .ranking import bh_adjust, running_totals, value_counts
-from .relational import attach
+from .ranking import SLICE, bh_adjust, sliced, value_counts
+from .relational import attach, null_safe_join
 
 EXACT_BELOW = 50
 SHAPIRO_MIN, SHAPIRO_MAX = 3, 5000
-RANK_RUN = 4096
+RANK_RUN, CELLS = 4096, 1 << 21
 
 
 def pairwise_wilcox(df: DataFrame, y: str, g: str, by: Sequence[str] = (), levels: Sequence[str] | None = None) -> DataFrame:
     """Rank-sum test for every pair of groups, Benjamini-Hochberg adjusted.
 
-    ``w`` belongs to ``group1``.  Equal values are counted first; running totals per group
-    over the distinct values then give every pair's statistic and ties in one aggregation,
-    so nothing is ranked pair by pair.  Without ties and with both groups below 50 the
+    ``w`` belongs to ``group1``.  Equal values are counted first and put into slices of the value
+    range; each slice gives all pairs' statistics and ties as matrix products, which are then
+    summed.  Groups are data: their number is not limited and does not enter the plan.  Without ties and with both groups below 50 the
     p-value is exact, otherwise normal with tie and continuity correction.
     """
     used = df.where(F.col(y).isNotNull() & F.col(g).isNotNull())
-    names = list(levels) if levels else factor_levels(used, [g])[g]
-    counts = [f"_n{i}" for i in range(len(names))]
-    table = used.groupBy(*by, y).agg(*[F.count_if(F.col(g) == F.lit(name)).alias(c) for c, name in zip(counts, names)])
-    ranked = running_totals(table, [y], counts, by)
-    aggregates = [F.sum(c).cast("double").alias(c) for c in counts]
-    for i, j in combinations(range(len(names)), 2):
-        a, b = F.col(counts[i]).cast("double"), F.col(counts[j]).cast("double")
-        t = a + b
-        aggregates += [
-            F.sum(a * (F.col(f"before_{counts[j]}") + b / 2)).alias(f"_u{i}_{j}"),
-            F.sum(t * t * t - t).alias(f"_t{i}_{j}"),
-        ]
-    sums = ranked.groupBy(*by).agg(*aggregates)
-    pairs = F.explode(F.array(*[
-        F.struct(
-            F.lit(names[i]).alias("group1"), F.lit(names[j]).alias("group2"), F.col(counts[i]).alias("n1"), F.col(counts[j]).alias("n2"),
-            F.col(f"_u{i}_{j}").alias("w"), F.col(f"_t{i}_{j}").alias("ties"),
-        )
-        for i, j in combinations(range(len(names)), 2)
-    ])).alias("_p")
-    rows = sums.select(*by, pairs).select(*by, "_p.*").where("n1 > 0 and n2 > 0")
+    place = {name: i for i, name in enumerate(levels)} if levels else None
+    if levels:
+        used = used.where(F.col(g).isin(list(levels)))
+    counted = used.groupBy(*by, y, F.col(g).alias("group")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    family = list(by) or ["_family"]
+    placed = sliced(counted if by else counted.withColumn("_family", F.lit(0)), [y], by)
+    inside = placed.groupBy(*family, SLICE, "group").agg(F.sum("_n").alias("_n"))
+    # every slice meets every group of its family: as many rows as slices times groups
+    slices, groups = placed.select(*family, SLICE).distinct(), placed.groupBy(*family, "group").agg(F.sum("_n").alias("_all"))
+    grid = null_safe_join(slices, groups, family, "inner")
+    earlier = Window.partitionBy(*family, "group").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    absent = grid.withColumn("_n", F.lit(0.0)).unionByName(inside.withColumn("_all", F.lit(0.0)))
+    filled = absent.groupBy(*family, SLICE, "group").agg(F.sum("_n").alias("_n"), F.max("_all").alias("_all"))
+    offsets = filled.select(*family, SLICE, "group", "_all", F.coalesce(F.sum("_n").over(earlier), F.lit(0.0)).alias("_before"))
+    head = [c for c in placed.columns if c in by]
+
+    def partial(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """Rank sums and ties of all pairs inside one slice, for pairs with group1 first."""
+        known = known.assign(_order=[place[v] if place else str(v) for v in known["_name"]]).sort_values("_order").reset_index(drop=True)
+        k, before = len(known), known["_before"].to_numpy(float)
+        column = own["group"].map({v: i for i, v in enumerate(known["_name"])}).to_numpy()
+        row, n = pd.factorize(own[y], sort=True)[0], own["_n"].to_numpy(float)
+        u, ties, step = np.zeros((k, k)), np.zeros((k, k)), max(1, CELLS // k)
+        order = np.argsort(row, kind="stable")
+        row, column, n = row[order], column[order], n[order]
+        for low in range(0, int(row[-1]) + 1, step):
+            at = slice(*np.searchsorted(row, [low, low + step]))
+            counts = np.zeros((min(step, int(row[-1]) + 1 - low), k))
+            counts[row[at] - low, column[at]] = n[at]
+            upto = before + np.cumsum(counts, axis=0)
+            u += counts.T @ (upto - counts / 2)
+            before = upto[-1]
+            cube, mixed = (counts**3 - counts).sum(axis=0), (counts**2).T @ counts
+            ties += cube[:, None] + cube[None, :] + 3 * (mixed + mixed.T)
+        i, j = np.triu_indices(k, 1)
+        out = {c: [own[c].iloc[0]] * len(i) for c in head}
+        names, every = known["_name"].to_numpy(), known["_all"].to_numpy(float)
+        return pd.DataFrame(out | {"group1": names[i], "group2": names[j], "n1": every[i], "n2": every[j], "w": u[i, j], "ties": ties[i, j]})
+
+    kinds = dict(counted.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in head) + f"group1 {kinds['group']}, group2 {kinds['group']}, n1 double, n2 double, w double, ties double"
+    keys = [*head, SLICE]
+    apart = offsets.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("group").alias("_name"), "_all", "_before")
+    sums = placed.groupBy(*keys).cogroup(apart.groupBy(*[f"_of_{k}" for k in keys])).applyInPandas(partial, schema)
+    rows = sums.groupBy(*by, "group1", "group2", "n1", "n2").agg(F.sum("w").alias("w"), F.sum("ties").alias("ties"))
     total = F.col("n1") + F.col("n2")
     spread = F.col("n1") * F.col("n2") / 12 * (total + 1 - F.try_divide("ties", total * (total - 1)))
     distance = F.col("w") - F.col("n1") * F.col("n2") / 2
