@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from . import embedding_dedup, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts
+from . import decontamination, embedding_dedup, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, twins
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,16 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+def twin(sql: str) -> Callable:
+    """Registers ``sql`` for the query that follows."""
+
+    def register(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        ORACLES[build.__name__] = sql
+        return build
+
+    return register
+
+
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Exact tokens of every text; SQL has no tokenizer, so tests compare with the library."""
@@ -111,3 +121,12 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes covered by repeated strings of 400 bytes; tests compare with brute force over all strings."""
     return suffix_dedup.without_repeats(documents(spark, folder), Scratch(spark))
+
+
+@query
+@twin(twins.DECONTAMINATION)
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of documents inside benchmark windows of ten words."""
+    rows = decontamination.contamination(documents(spark, folder), documents(spark, folder, "benchmark"), Scratch(spark))
+    listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", listed, (F.col("n_hit") > 0).alias("contaminated"))
