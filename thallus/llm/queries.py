@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch
-from . import decontamination, embedding_dedup, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, twins
+from . import conversation_trie, decontamination, embedding_dedup, hard_negatives, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, twins
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,21 @@ def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     rows = decontamination.contamination(documents(spark, folder), documents(spark, folder, "benchmark"), Scratch(spark))
     listed = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return rows.select("doc_id", "n_words", "n_hit", "n_items", listed, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+@twin(twins.CONVERSATION_TRIE)
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie; a conversation takes up to five first turns from the one at its hundred."""
+    conv = F.col("conv")
+    borrowed = F.crc32(conv.cast("string").cast("binary")) % 6
+    return conversation_trie.conversation_trie(documents(spark, folder, "conversations"), Scratch(spark), conv - conv % 100, borrowed)
+
+
+@query
+@twin(twins.HARD_NEGATIVES)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of each anchor (ids divisible by 100) and positive, over all vectors."""
+    rows = hard_negatives.quantised(documents(spark, folder, "embeddings").select("vec_id", "label", "embedding"), 256)
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", moved), F.col("id") % 100 == 0, Scratch(spark))

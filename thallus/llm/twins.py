@@ -12,3 +12,34 @@ DECONTAMINATION = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
     met AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY 1)
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
     coalesce(c.n, 0) > 0 AS contaminated FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN met m USING (doc_id)"""
+
+# the checking engine has no CRC-32: the bitwise definition, by byte and bit
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, x: list_reduce(list_prepend(xor(a, x), list_transform(range(8), lambda z: CAST(z AS BIGINT))),
+    lambda b, z: xor(b >> 1, CASE WHEN b & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END))), CAST(4294967295 AS BIGINT))"""
+
+CONVERSATION_TRIE = f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+    heads AS (SELECT c.conv_id, t.i + 1 AS p, role, text FROM c JOIN t ON t.conv_id = c.base AND t.i < c.h),
+    b AS (SELECT conv_id, count(*) AS b FROM heads GROUP BY 1),
+    r AS (SELECT * FROM heads UNION ALL SELECT t.conv_id, t.i - h + coalesce(b, 0) + 1, role, text FROM t JOIN c USING (conv_id) LEFT JOIN b USING (conv_id) WHERE i >= h
+      UNION ALL SELECT conv_id, 0, NULL, NULL FROM c),
+    k AS (SELECT conv_id, p, coalesce(length(text), 0) AS chars, p = max(p) OVER (PARTITION BY conv_id) AS last,
+      coalesce(string_agg(sha256(concat(length(role), ':', role, text)), '') OVER (PARTITION BY conv_id ORDER BY p), '') AS k FROM r),
+    s AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY p) AS pk FROM k),
+    n AS (SELECT p, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last) AS ends FROM s GROUP BY 1, 2),
+    kids AS (SELECT p - 1 AS p, pk AS k, count(*) AS n_children FROM n WHERE p > 0 GROUP BY 1, 2),
+    m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (p, k)),
+    up AS (SELECT s.p, s.k, count(*) FILTER (m.n_children = 0) AS n_leaves, CAST(sum((m.n_convs - 1) * m.chars) AS BIGINT) AS saved_tokens FROM m JOIN s ON s.conv_id = m.conv_id AND s.p <= m.p GROUP BY 1, 2)
+    SELECT m.conv_id, m.p AS depth, f.conv_id AS parent_conv_id, m.n_convs, m.n_children, up.n_leaves, up.saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+    FROM m JOIN up USING (p, k) LEFT JOIN n f ON f.p = m.p - 1 AND f.k = m.pk"""
+
+HARD_NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)),
+    p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+    n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score QUALIFY rank <= 5"""
