@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from conftest import values
 
-from thallus.operators import distances, ecology, ranking, taxonomy
+from thallus.operators import distances, ecology, ordination, ranking, taxonomy
 
 
 def brute_rarefy(counts, depth, seed):
@@ -117,7 +117,7 @@ def test_feature_distance_and_ordination_rebuild_each_other(spark):
     for i in range(7):
         for j in range(i + 1, 7):
             assert got[f"t{i}", f"t{j}"] == pytest.approx(float(np.linalg.norm(m[i] - m[j])))
-    scores = distances.pcoa(pairs, df, k=6, ident="taxon").collect()
+    scores = ordination.pcoa(pairs, df, k=6, ident="taxon").collect()
     x = np.zeros((7, 6))
     for r in scores:
         x[int(r.taxon[1:]), r.axis - 1] = r.score
@@ -132,7 +132,7 @@ def test_ordination_with_negative_eigenvalues(spark, counts, community):
     j = np.eye(n) - 1 / n
     lam, vec = np.linalg.eigh(-0.5 * j @ (d * d) @ j)
     top = np.argsort(lam)[::-1][:3]
-    got = distances.pcoa(distances.bray_curtis(counts), counts, 3).collect()
+    got = ordination.pcoa(distances.bray_curtis(counts), counts, 3).collect()
     for axis, at in enumerate(top, start=1):
         want = vec[:, at] * math.sqrt(lam[at])
         want = want * np.sign(want[np.abs(want).argmax()])
@@ -143,7 +143,7 @@ def test_ordination_with_negative_eigenvalues(spark, counts, community):
 def test_step_across_is_shortest_path(spark):
     edges = [("a", "b", 0.5), ("b", "c", 0.4), ("c", "d", 0.3), ("a", "e", 0.9), ("d", "e", 0.2), ("x", "y", 0.1)]
     ids = spark.createDataFrame([(s,) for s in "abcdexyz"], "sample string")
-    got = {(r.s1, r.s2): r.d for r in distances.step_across(spark.createDataFrame(edges, "s1 string, s2 string, d double"), ids).collect()}
+    got = {(r.s1, r.s2): r.d for r in ordination.step_across(spark.createDataFrame(edges, "s1 string, s2 string, d double"), ids).collect()}
     nodes = "abcdexyz"
     best = {(p, q): math.inf for p in nodes for q in nodes}
     for a, b, w in edges:

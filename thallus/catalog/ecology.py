@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import classes
-from ..operators import differential, distances, ecology, relational, summaries, taxonomy
+from ..operators import differential, distances, ecology, ordination, relational, summaries, taxonomy
 from ..plans import analyses
 from .registry import query
 from .tables import DEPTH, SEED, SPECIES, TIMES
@@ -74,15 +74,30 @@ def _(t):
     return ecology.wisconsin_autotransform(t.genera.withColumnRenamed("taxon", "feature"))
 
 
-@query("stepacross")
+# paths of up to four steps: two squarings; what shares a feature keeps its distance
+_NEAR = _BRAY.replace("counts", "yearly")
+
+
+@query("stepacross", f"""WITH {{fixtures}}, near AS ({_NEAR}), ids AS (SELECT DISTINCT sample FROM yearly),
+    e1 AS (SELECT s1 AS a, s2 AS b, d FROM near UNION ALL SELECT s2, s1, d FROM near),
+    p2 AS (SELECT a, b, min(d) AS d FROM (SELECT a, b, d FROM e1 WHERE a < b UNION ALL SELECT x.a, y.b, min(x.d + y.d) FROM e1 x JOIN e1 y ON x.b = y.a WHERE x.a < y.b GROUP BY 1, 2) GROUP BY 1, 2),
+    e2 AS (SELECT a, b, d FROM p2 UNION ALL SELECT b, a, d FROM p2),
+    far AS (SELECT x.sample AS s1, y.sample AS s2 FROM ids x JOIN ids y ON x.sample < y.sample ANTI JOIN near ON near.s1 = x.sample AND near.s2 = y.sample),
+    p4 AS (SELECT s1, s2, min(x.d + y.d) AS d FROM far JOIN e2 x ON x.a = s1 JOIN e2 y ON y.a = x.b AND y.b = s2 GROUP BY 1, 2)
+    SELECT s1, s2, d FROM near UNION ALL SELECT s1, s2, least(p4.d, p2.d) FROM far LEFT JOIN p4 USING (s1, s2) LEFT JOIN p2 ON p2.a = s1 AND p2.b = s2 /* FROM yearly */""", doubles="d")
 def _(t):
-    return distances.step_across(distances.bray_curtis(t.counts), t.counts)
+    return ordination.step_across(distances.bray_curtis(t.yearly), t.yearly)
 
 
 @query("pcoa")
 def _(t):
     near = distances.bray_curtis(ecology.wisconsin_autotransform(t.rare), "value")
-    return distances.pcoa(near, t.rare, 3)
+    return ordination.pcoa(near, t.rare, 3)
+
+
+@query("ordination")
+def _(t):
+    return analyses.ordination(t.community)
 
 
 _SCALED = """ranges AS (SELECT taxon, CASE WHEN count(*) < (SELECT count(DISTINCT sample) FROM counts) THEN least(min(n), 0) ELSE min(n) END AS lo, max(n) AS hi FROM genera GROUP BY 1),
@@ -94,13 +109,25 @@ def _(t):
     return ecology.minmax_scale(t.genera, "taxon", "n", t.counts)
 
 
-@query("euclid_features", f"""WITH {{fixtures}}, {_SCALED}, taxa AS (SELECT DISTINCT taxon FROM scaled WHERE scaled IS NOT NULL),
+_EUCLID = f"""WITH {{fixtures}}, {_SCALED}, taxa AS (SELECT DISTINCT taxon FROM scaled WHERE scaled IS NOT NULL),
     grid AS (SELECT t.taxon, s.sample, coalesce(v.scaled, 0) AS v FROM taxa t CROSS JOIN (SELECT DISTINCT sample FROM counts) s LEFT JOIN scaled v ON v.taxon = t.taxon AND v.sample = s.sample)
-    SELECT a.taxon AS s1, b.taxon AS s2, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS d FROM grid a JOIN grid b ON a.sample = b.sample AND a.taxon < b.taxon GROUP BY 1, 2""", doubles="d")
+    SELECT a.taxon AS s1, b.taxon AS s2, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS d FROM grid a JOIN grid b ON a.sample = b.sample AND a.taxon < b.taxon GROUP BY 1, 2"""
+
+
+@query("euclid_features", _EUCLID, doubles="d")
 def _(t):
     return distances.feature_distance(ecology.minmax_scale(t.genera, "taxon", "n", t.counts))
 
 
+@query("pcoa_distances", _EUCLID, doubles="d")
+def _(t):
+    """All axes of a Euclidean distance table rebuild it."""
+    scaled = ecology.minmax_scale(t.genera, "taxon", "n", t.counts).where("scaled IS NOT NULL")
+    axes = ordination.pcoa(distances.feature_distance(scaled), scaled, k=16, ident="taxon")
+    one, two = (axes.select(F.col("taxon").alias(s), "axis", F.col("score").alias(f"x{s}")) for s in ("s1", "s2"))
+    return one.join(two, "axis").where("s1 < s2").groupBy("s1", "s2").agg(F.sqrt(F.sum((F.col("xs1") - F.col("xs2")) ** 2)).alias("d"))
+
+
 @query("feature_clusters")
 def _(t):
     species = taxonomy.rollup_rank(t.counts, t.tax, "species")

@@ -21,6 +21,8 @@ _PIECES = ", ".join(
 FIXTURES: dict[str, str] = {
     "counts": """SELECT concat(CAST(l_suppkey AS VARCHAR), '_', l_linestatus) AS sample,
         CAST(l_partkey AS VARCHAR) AS feature, count(*) AS n FROM lineitem GROUP BY 1, 2""",
+    "yearly": """SELECT concat(CAST(l_suppkey AS VARCHAR), '_', CAST(year(l_shipdate) AS VARCHAR)) AS sample,
+        CAST(l_partkey AS VARCHAR) AS feature, count(*) AS n FROM lineitem GROUP BY 1, 2""",
     "samples": """SELECT concat(CAST(d.l_suppkey AS VARCHAR), '_', d.l_linestatus) AS sample, d.l_suppkey AS pot,
         CASE WHEN d.l_suppkey % 50 = 49 THEN 'Neg' WHEN d.l_suppkey % 2 = 0 THEN 'A' ELSE 'T' END AS species,
         CASE WHEN n.n_regionkey = 4 THEN 'C' ELSE concat('S', CAST(n.n_regionkey AS VARCHAR)) END AS stand,

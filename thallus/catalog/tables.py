@@ -37,6 +37,12 @@ class Tables:
         sample = F.concat(F.col("l_suppkey").cast("string"), F.lit("_"), "l_linestatus").alias("sample")
         return cells.select(sample, F.col("l_partkey").cast("string").alias("feature"), "n")
 
+    @cached_property
+    def yearly(self) -> DataFrame:
+        """Shallow samples, supplier by ship year: some share no feature."""
+        sample = F.concat(F.col("l_suppkey").cast("string"), F.lit("_"), F.year("l_shipdate").cast("string"))
+        return self.read("lineitem").groupBy(sample.alias("sample"), F.col("l_partkey").cast("string").alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+
     @cached_property
     def samples(self) -> DataFrame:
         seen = self.read("lineitem").select("l_suppkey", "l_linestatus").distinct()

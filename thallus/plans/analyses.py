@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classes
-from ..operators import differential, ecology, ranking, relational, summaries, taxonomy
+from ..operators import differential, distances, ecology, ordination as axes, ranking, relational, summaries, taxonomy
 from ..runtime import durable
 
 
@@ -52,6 +52,18 @@ def guild_means(community: Community, by: Sequence[str] = ("time", "species")) -
     return ecology.group_mean(shares, observed, by, "guild", "abundance")
 
 
+def ordination(community: Community, k: int = 3) -> DataFrame:
+    """Eligible samples on ``k`` axes, with their metadata: transformed counts, Bray–Curtis,
+    step-across for samples that share nothing, principal coordinates.  One row per sample, ``V1 .. Vk``."""
+    eligible = relational.eligible_samples(community.samples)
+    kept = durable(relational.keep_in(community.rarefied, eligible.select("sample"), "sample"))
+    near = distances.bray_curtis(ecology.wisconsin_autotransform(kept), "value")
+    stepped = durable(axes.step_across(near, kept))
+    scores = axes.pcoa(stepped, kept, k)
+    columns = [F.max(F.when(F.col("axis") == a, F.col("score"))).alias(f"V{a}") for a in range(1, k + 1)]
+    return scores.groupBy("sample").agg(*columns).join(eligible, "sample")
+
+
 def guild_colonization(community: Community, microscopy: DataFrame) -> DataFrame:
     """Sequencing and microscopy treatment means in one table.
 
