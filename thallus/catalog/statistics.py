@@ -80,6 +80,34 @@ def _(t):
     return models.lmm(_roots(t), "root", ["species", "time", "species:time"], "subject")
 
 
+# balanced data, orders of three lines: REML has a closed form
+_BALANCED = """b AS (SELECT l_orderkey, o_orderpriority AS grp, l_quantity + o_totalprice / 10000 AS y FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+      WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = 3)),
+    s AS (SELECT l_orderkey, grp, avg(y) AS m, sum(y) AS t, CAST(count(*) AS DOUBLE) AS n, var_pop(y) * count(*) AS ss FROM b GROUP BY 1, 2)"""
+
+
+@query("mixed_model_balanced", f"""WITH {_BALANCED}, v AS (SELECT avg(m) AS mean, 3 * var_samp(m) AS between, sum(ss) / (2 * count(*)) AS inside, CAST(count(*) AS DOUBLE) AS k FROM s),
+    w AS (SELECT *, CASE WHEN between > inside THEN between ELSE (between * (k - 1) + inside * 2 * k) / (3 * k - 1) END AS msb, CASE WHEN between > inside THEN inside ELSE (between * (k - 1) + inside * 2 * k) / (3 * k - 1) END AS msw FROM v)
+    SELECT '(Intercept)' AS coefficient, mean AS estimate, sqrt(msb / (3 * k)) AS std_error, (msb - msw) / 3 AS var_subject, msw AS var_residual, k AS subjects FROM w""", doubles="estimate std_error var_subject var_residual subjects", places=4)
+def _(t):
+    fitted = models.lmm(_balanced(t), "y", [], "l_orderkey")
+    return fitted.select("coefficient", "estimate", "std_error", "var_subject", "var_residual", "subjects")
+
+
+@query("wald_balanced", f"""WITH {_BALANCED}, g AS (SELECT grp, avg(m) AS gm, count(*) AS k, var_pop(m) * count(*) AS ss FROM s GROUP BY 1),
+    v AS (SELECT 3 * sum(ss) / (sum(k) - count(*)) AS msb, CAST(count(*) - 1 AS DOUBLE) AS df FROM g), o AS (SELECT avg(m) AS om FROM s)
+    SELECT 'grp' AS term, 3 * sum(k * (gm - om) ** 2) / any_value(msb) AS chisq, any_value(df) AS df FROM g, v, o""", doubles="chisq df", places=4)
+def _(t):
+    return models.lmm(_balanced(t), "y", ["grp"], "l_orderkey", table="wald").drop("p_value")
+
+
+def _balanced(t):
+    lines, orders = t.read("lineitem"), t.read("orders")
+    three = lines.groupBy("l_orderkey").count().where("count = 3").select("l_orderkey")
+    joined = lines.join(three, "l_orderkey", "left_semi").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.select("l_orderkey", F.col("o_orderpriority").alias("grp"), (F.col("l_quantity") + F.col("o_totalprice") / 10000).alias("y"))
+
+
 @query("wald_type2")
 def _(t):
     return models.lmm(_roots(t), "root", ["species", "time", "species:time"], "subject", table="wald")

@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from ..functions.tails import chi2_tail, f_tail, t_tail
 from .relational import attach
 
-MAX_LEVELS = 200
 ALIASED = 1e-10
 
 
@@ -256,139 +255,208 @@ def residuals(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = (
 
 # -- random intercepts -------------------------------------------------------------
 
-def factor_levels(df: DataFrame, factors: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None) -> dict[str, list]:
-    """Given or observed level order per factor (as an encoder's fit would learn it)."""
-    known = {f: list(v) for f, v in (levels or {}).items() if f in factors}
-    for f in factors:
-        if f not in known:
-            seen = [r[0] for r in df.where(F.col(f).isNotNull()).select(f).distinct().limit(MAX_LEVELS + 1).collect()]
-            if len(seen) > MAX_LEVELS:
-                raise ValueError(f"{f} has more than {MAX_LEVELS} levels")
-            known[f] = sorted(seen, key=str)
-    return known
-
-
-def _design(terms: Sequence[str], factors: Sequence[str], levels: Mapping[str, Sequence]) -> tuple[list[str], list[int], list[Column]]:
-    names, owner, columns = ["(Intercept)"], [-1], [F.lit(1.0)]
-    for t, term in enumerate(terms):
-        built = [("", F.lit(1.0))]
+_RESPONSE = "9999||y"
+
+
+def _marginal(terms: Sequence[str], covariates: Sequence[str]) -> list[str]:
+    """Covariates that may be centred: every term that uses one is also there without it."""
+    parts = {frozenset(t.split(":")) for t in terms} | {frozenset()}
+    return [v for v in covariates if all(p - {v} in parts for p in parts if v in p)]
+
+
+def _entries(terms: Sequence[str], factors: Sequence[str], lowest: Mapping[str, Column], levels: Mapping[str, Sequence], y: str) -> Column:
+    """A row's non-zero design values, (column, value) in column order; the response comes last.
+
+    A column is named by its term's number, the places of its levels where an order was given, and its
+    own name, so that text order is column order and levels stay data.
+    """
+    made = [F.struct(F.lit("0000||(Intercept)").alias("c"), F.lit(1.0).alias("v"))]
+    for t, term in enumerate(terms, start=1):
+        places, names, value, there = [], [], F.lit(1.0), F.lit(True)
         for v in term.split(":"):
             if v in factors:
-                built = [
-                    (f"{a}:{v}[{lv}]".lstrip(":"), c * F.when(F.col(v) == F.lit(lv), 1.0).otherwise(0.0))
-                    for a, c in built for lv in levels[v][1:]
-                ]
+                if v in levels:
+                    places.append(F.lpad(F.array_position(F.array(*[F.lit(lv) for lv in levels[v]]), F.col(v)).cast("string"), 6, "0"))
+                names.append(F.concat(F.lit(f"{v}["), F.col(v).cast("string"), F.lit("]")))
+                there = there & (F.col(v) != lowest[v])
             else:
-                built = [(f"{a}:{v}".lstrip(":"), c * F.col(v).cast("double")) for a, c in built]
-        for name, column in built:
-            names.append(name)
-            owner.append(t)
-            columns.append(column)
-    return names, owner, columns
+                names.append(F.lit(v))
+                value = value * F.col(f"_{v}")
+        name = F.concat_ws("|", F.lit(f"{t:04d}"), F.concat_ws(".", *places) if places else F.lit(""), F.concat_ws(":", *names))
+        made.append(F.when(there, F.struct(name.alias("c"), value.alias("v"))))
+    made.append(F.struct(F.lit(_RESPONSE).alias("c"), (F.col(y).cast("double") - F.col("_middle")).alias("v")))
+    return F.filter(F.array(*made), lambda e: e.isNotNull())
 
 
-def lmm(
-    df: DataFrame, y: str, terms: Sequence[str], subject: str, by: Sequence[str] = (), table: str = "fixed",
-    levels: Mapping[str, Sequence[str]] | None = None,
-) -> DataFrame:
-    """Random-intercept model by REML.
+def _pairs(entries: Column) -> Column:
+    """All products of two entries, the first not after the second."""
+    return F.flatten(F.transform(entries, lambda a, i: F.transform(
+        F.slice(entries, i + 1, F.size(entries)), lambda b: F.struct(a["c"].alias("c1"), b["c"].alias("c2"), (a["v"] * b["v"]).alias("x")))))
 
-    ``table='fixed'``: coefficients, variances and fit; ``table='wald'``: Type II Wald
-    chi-square per term.  Subjects enter as sums, which are pooled by subject size: with
-    s, t the sums of a subject of n rows, ``V⁻¹ = I - θ/(1+nθ) 11'`` needs only the pooled
-    ss', st and t².  The response is centred first, so that a large mean does not cancel in the
-    sums; covariates enter as they are.
+
+def _long_gram(df: DataFrame, y: str, terms: Sequence[str], subject: str, by: Sequence[str], factors: Sequence[str], covariates: Sequence[str], levels: Mapping[str, Sequence] | None) -> DataFrame:
+    """What a random-intercept fit needs, as cells: ``by, kind, size, c1, c2, x``.
+
+    ``p``: inner products of two columns; ``q``: products of two columns' sums over a subject, added
+    up over the subjects of one size; ``n``: subjects of a size; ``m``: the middle of the response
+    (c1 = y) and of each centred covariate.
     """
-    factors, covariates = variables(df, terms)
-    used = complete_cases(df, [y, subject, *factors, *covariates], levels)
-    middle = used.groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("_middle"))
-    used = attach(used, middle, by)
-    names, owner, columns = _design(terms, factors, factor_levels(used, factors, levels))
-    k = len(columns)
-    every = [*[f"x{i}" for i in range(k)], "y_"]
-    pairs = list(combinations_with_replacement(range(k + 1), 2))
-    wide = used.select(*by, F.col(subject).alias("_subject"), *[c.alias(f"x{i}") for i, c in enumerate(columns)], (F.col(y).cast("double") - F.col("_middle")).alias("y_"), "_middle")
-    per_subject = wide.groupBy(*by, "_subject").agg(
-        F.count(F.lit(1)).alias("size"), F.max("_middle").alias("_middle"),
-        *[F.sum(v).alias(f"s_{v}") for v in every],
-        *[F.sum(F.col(every[i]) * F.col(every[j])).alias(f"p{i}_{j}") for i, j in pairs],
+    given = dict(levels or {})
+    used = complete_cases(df, [y, subject, *factors, *covariates], given)
+    centred = _marginal(terms, covariates)
+    middles = used.groupBy(*by).agg(
+        F.avg(F.col(y).cast("double")).alias("_middle"), *[F.avg(F.col(v).cast("double")).alias(f"_m_{v}") for v in centred],
+        *[F.min(f).alias(f"_low_{f}") for f in factors if f not in given],
     )
-    pooled = per_subject.groupBy(*by, "size").agg(
-        F.count(F.lit(1)).cast("double").alias("subjects"), F.max("_middle").alias("_middle"),
-        *[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in pairs],
-        *[F.sum(F.col(f"s_{every[i]}") * F.col(f"s_{every[j]}")).alias(f"q{i}_{j}") for i, j in pairs],
+    lowest = {f: F.lit(given[f][0]) if f in given else F.col(f"_low_{f}") for f in factors}
+    joined = attach(used, middles, by)
+    joined = joined.withColumns({f"_{v}": F.col(v).cast("double") - (F.col(f"_m_{v}") if v in centred else F.lit(0.0)) for v in covariates})
+    rows = joined.select(*by, F.col(subject).alias("_subject"), _entries(terms, factors, lowest, given, y).alias("_entries"))
+    plain = rows.select(*by, F.explode(_pairs(F.col("_entries"))).alias("e")).groupBy(*by, "e.c1", "e.c2").agg(F.sum("e.x").alias("x"))
+    sums = rows.select(*by, "_subject", F.explode("_entries").alias("e")).groupBy(*by, "_subject", F.col("e.c").alias("c")).agg(F.sum("e.v").alias("v"), F.count(F.lit(1)).alias("n"))
+    # every row has one entry for the response, so that column's count is the subject's size
+    subjects = sums.groupBy(*by, "_subject").agg(F.max(F.when(F.col("c") == _RESPONSE, F.col("n"))).alias("size"), F.sort_array(F.collect_list(F.struct("c", "v"))).alias("_entries"))
+    subjects = subjects.select(*by, "size", "_entries")
+    within = subjects.select(*by, "size", F.explode(_pairs(F.col("_entries"))).alias("e")).groupBy(*by, "size", "e.c1", "e.c2").agg(F.sum("e.x").alias("x"))
+    sizes = subjects.groupBy(*by, "size").agg(F.count(F.lit(1)).cast("double").alias("x"))
+    told = middles.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("c1"), F.col(m).alias("x")) for c, m in [("y", "_middle"), *[(v, f"_m_{v}") for v in centred]]])))
+    none, blank = F.lit(None).cast("long"), F.lit("")
+
+    def cells(table: DataFrame, kind: str, size: Column = none, c1: Column | str = blank, c2: Column | str = blank) -> DataFrame:
+        one, two = (F.col(c) if isinstance(c, str) else c for c in (c1, c2))
+        return table.select(*by, F.lit(kind).alias("kind"), size.alias("size"), one.alias("c1"), two.alias("c2"), "x")
+
+    return (
+        cells(plain, "p", c1="c1", c2="c2").unionByName(cells(within, "q", F.col("size"), "c1", "c2"))
+        .unionByName(cells(sizes, "n", F.col("size"))).unionByName(cells(told, "m", c1="c1"))
     )
 
-    def square(pdf: pd.DataFrame, letter: str) -> np.ndarray:
-        out = np.empty((len(pdf), k + 1, k + 1))
-        for i, j in pairs:
-            out[:, i, j] = out[:, j, i] = pdf[f"{letter}{i}_{j}"].to_numpy(float)
-        return out
 
-    def fit(pdf: pd.DataFrame):
-        size, subjects = pdf["size"].to_numpy(float), pdf["subjects"].to_numpy(float)
-        plain, sums = square(pdf, "p").sum(axis=0), square(pdf, "q")
-        n = float((size * subjects).sum())
-        kept, a = [], plain.copy()
-        for j in range(k):
-            if a[j, j] > ALIASED * plain[j, j] > 0:
+class _RandomIntercept:
+    """REML fit of one group from its cells."""
+
+    def __init__(self, cells: pd.DataFrame):
+        kind = cells["kind"].to_numpy()
+        p, q, counts, middles = (cells[kind == k] for k in "pqnm")
+        self.keys = sorted(set(p["c1"]))  # the response sorts last
+        place = {c: i for i, c in enumerate(self.keys)}
+        self.k = len(self.keys) - 1
+        self.names = [c.split("|", 2)[2] for c in self.keys[:-1]]
+        self.owner = [int(c[:4]) - 1 for c in self.keys[:-1]]
+        self.middles = dict(zip(middles["c1"], middles["x"].astype(float)))
+        counts = counts.sort_values("size")
+        self.size, self.subjects = counts["size"].to_numpy(float), counts["x"].to_numpy(float)
+        self.plain = self._square(p, place)
+        at = {s: i for i, s in enumerate(counts["size"])}
+        which = q["size"].map(at).to_numpy()
+        # sparse: a size of subjects touches few pairs of columns
+        self.q = (which, q["c1"].map(place).to_numpy(), q["c2"].map(place).to_numpy(), q["x"].to_numpy(float))
+        n = float((self.size * self.subjects).sum())
+        self.kept, a = [], self.plain.copy()
+        for j in range(self.k):
+            if a[j, j] > ALIASED * self.plain[j, j] > 0:
                 a = a - np.outer(a[:, j], a[j, :]) / a[j, j]
-                kept.append(j)
-        dof = n - len(kept)
+                self.kept.append(j)
+        self.dof = n - len(self.kept)
+        self.fit = self._best() if self.dof > 0 else None
+
+    def _square(self, cells: pd.DataFrame, place: Mapping[str, int]) -> np.ndarray:
+        out = np.zeros((len(place), len(place)))
+        i, j = cells["c1"].map(place).to_numpy(), cells["c2"].map(place).to_numpy()
+        out[i, j] = out[j, i] = cells["x"].to_numpy(float)
+        return out
 
-        def at(theta: float):
-            weighted = plain - np.einsum("g,gij->ij", theta / (1 + size * theta), sums)
-            xx, xy = weighted[np.ix_(kept, kept)], weighted[kept, k]
-            beta = np.linalg.solve(xx, xy)
-            rest = max(weighted[k, k] - beta @ xy, 1e-300)
-            deviance = (subjects * np.log1p(size * theta)).sum() + np.linalg.slogdet(xx)[1] + dof * math.log(rest)
-            return deviance, beta, xx, rest
-
-        if dof <= 0:
-            return kept, dof, None
-        grid = np.linspace(0.0, 0.9999, 60)  # ratio of between to total variance
-        value = [at(r / (1 - r))[0] for r in grid]
-        best = int(np.argmin(value))
+    def at(self, theta: float):
+        which, i, j, x = self.q
+        weight = theta / (1 + self.size * theta)
+        taken = np.zeros_like(self.plain)
+        np.add.at(taken, (i, j), weight[which] * x)
+        whole = self.plain - taken - np.triu(taken, 1).T - np.tril(taken, -1).T
+        xx, xy = whole[np.ix_(self.kept, self.kept)], whole[self.kept, self.k]
+        beta = np.linalg.solve(xx, xy)
+        rest = max(whole[self.k, self.k] - beta @ xy, 1e-300)
+        deviance = (self.subjects * np.log1p(self.size * theta)).sum() + np.linalg.slogdet(xx)[1] + self.dof * math.log(rest)
+        return deviance, beta, xx, rest
+
+    def _best(self):
+        def value(ratio: float) -> float:  # ratio of between to total variance
+            return self.at(ratio / (1 - ratio))[0]
+
+        grid = np.linspace(0.0, 0.9999, 60)
+        seen = [value(r) for r in grid]
+        best = int(np.argmin(seen))
         low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
         golden = (math.sqrt(5) - 1) / 2
         while high - low > 1e-12:
             left, right = high - golden * (high - low), low + golden * (high - low)
-            if at(left / (1 - left))[0] <= at(right / (1 - right))[0]:
+            if value(left) <= value(right):
                 high = right
             else:
                 low = left
-        ratio = (low + high) / 2
-        theta = ratio / (1 - ratio)
-        if value[0] <= at(theta)[0]:
+        theta = (low + high) / 2 / (1 - (low + high) / 2)
+        if seen[0] <= self.at(theta)[0]:
             theta = 0.0
-        return kept, dof, (theta, *at(theta))
+        return theta, *self.at(theta)
+
+    def uncentred(self) -> np.ndarray:
+        """Rows: the coefficients of the given covariates, as combinations of those of the centred ones."""
+        out = np.eye(len(self.kept))
+        name_at = {self.names[j]: a for a, j in enumerate(self.kept)}
+        for a, j in enumerate(self.kept):
+            parts = [] if self.names[j] == "(Intercept)" else self.names[j].split(":")
+            shifted = [v for v in parts if v in self.middles]
+            for chosen in range(1, 1 << len(shifted)):
+                gone = [v for b, v in enumerate(shifted) if chosen >> b & 1]
+                left = ":".join(p for p in parts if p not in gone) or "(Intercept)"
+                if left in name_at:
+                    out[name_at[left], a] += (-1) ** len(gone) * math.prod(self.middles[v] for v in gone)
+        return out
+
+
+def lmm(
+    df: DataFrame, y: str, terms: Sequence[str], subject: str, by: Sequence[str] = (), table: str = "fixed",
+    levels: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """Random-intercept model by REML.
+
+    ``table='fixed'``: coefficients, variances and fit; ``table='wald'``: Type II Wald
+    chi-square per term.  Factor levels are data: rows become their non-zero (column, value)
+    entries, and one grouped sum each gives the inner products of all columns and those of the
+    subjects' sums, pooled by subject size: with s, t the sums of a subject of n rows,
+    ``V⁻¹ = I - θ/(1+nθ) 11'`` needs no more.  The response and the covariates are centred per ``by``
+    group first, so that a large mean cancels nothing (a covariate that some term uses without its
+    lower terms stays as it is); coefficients are those of the given columns again.  The first level,
+    in the given order or else the lowest of a group, is the reference.
+    """
+    factors, covariates = variables(df, terms)
+    cells = _long_gram(df, y, terms, subject, by, factors, covariates, levels)
 
     def fixed(pdf: pd.DataFrame) -> list[dict]:
-        kept, dof, solved = fit(pdf)
-        if solved is None:
+        model = _RandomIntercept(pdf)
+        if model.fit is None:
             return []
-        theta, deviance, beta, xx, rest = solved
-        error = rest / dof
-        se = np.sqrt(np.diag(np.linalg.inv(xx)) * error)
-        beta = beta + np.array([float(pdf["_middle"].max()) if j == 0 else 0.0 for j in kept])
-        reml = deviance + dof * (1 + math.log(2 * math.pi / dof))
+        theta, deviance, beta, xx, rest = model.fit
+        error, back = rest / model.dof, model.uncentred()
+        se = np.sqrt(np.diag(back @ np.linalg.inv(xx) @ back.T) * error)
+        beta = back @ beta + np.array([model.middles["y"] if j == 0 else 0.0 for j in model.kept])
+        reml = deviance + model.dof * (1 + math.log(2 * math.pi / model.dof))
         return [
-            dict(coefficient=names[j], estimate=beta[i], std_error=se[i], t_value=beta[i] / se[i], var_subject=theta * error,
-                 var_residual=error, reml_deviance=reml, subjects=float(pdf["subjects"].sum()))
-            for i, j in enumerate(kept)
+            dict(coefficient=model.names[j], estimate=beta[i], std_error=se[i], t_value=beta[i] / se[i], var_subject=theta * error,
+                 var_residual=error, reml_deviance=reml, subjects=float(model.subjects.sum()))
+            for i, j in enumerate(model.kept)
         ]
 
     parts = [frozenset(t.split(":")) for t in terms]
 
     def wald(pdf: pd.DataFrame) -> list[dict]:
-        kept, dof, solved = fit(pdf)
-        if solved is None:
+        model = _RandomIntercept(pdf)
+        if model.fit is None:
             return []
-        _, _, beta, xx, rest = solved
-        cov = np.linalg.inv(xx) * rest / dof
+        _, _, beta, xx, rest = model.fit
+        cov = np.linalg.inv(xx) * rest / model.dof
 
         def statistic(chosen) -> tuple[float, int]:
-            at = [i for i, j in enumerate(kept) if owner[j] in chosen]
+            at = [i for i, j in enumerate(model.kept) if model.owner[j] in chosen]
             return (float(beta[at] @ np.linalg.solve(cov[np.ix_(at, at)], beta[at])), len(at)) if at else (0.0, 0)
 
         rows = []
@@ -400,9 +468,9 @@ def lmm(
         return rows
 
     if table == "wald":
-        return _by_group(pooled, by, wald, "term string, chisq double, df double, p_value double")
+        return _by_group(cells, by, wald, "term string, chisq double, df double, p_value double")
     return _by_group(
-        pooled, by, fixed,
+        cells, by, fixed,
         "coefficient string, estimate double, std_error double, t_value double, var_subject double, "
         "var_residual double, reml_deviance double, subjects double",
     )
