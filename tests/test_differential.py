@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from thallus.operators import differential
+from thallus.runtime import durable
 
 LEVELS = {"species": ["A", "T"], "time": ["June20", "Jan21"]}
 
@@ -26,9 +27,14 @@ def study(spark):
     )
 
 
-def test_finds_the_changed_taxa(study):
+@pytest.fixture(scope="module")
+def tested(study):
     counts, samples = study
-    rows = differential.diff_abundance(counts, samples, None, levels=LEVELS).collect()
+    return durable(differential.diff_abundance(counts, samples, None, levels=LEVELS))
+
+
+def test_finds_the_changed_taxa(tested):
+    rows = tested.collect()
     hits = {r.taxon for r in rows if r.coefficient == "species[T]" and r["diff"]}
     assert {"t03", "t07"} <= hits and len(hits) <= 4
     effect = {r.taxon: r.lfc for r in rows if r.coefficient == "species[T]"}
@@ -43,9 +49,7 @@ def test_decisions_hold_with_pseudo_counts(study):
     assert len(strong) == 2 and all(r.pseudo_agree == 5 and not r.sensitive for r in strong)
 
 
-def test_listed_taxa(study):
-    counts, samples = study
-    tested = differential.diff_abundance(counts, samples, None, levels=LEVELS)
+def test_listed_taxa(tested):
     listed = {r.taxon for r in differential.differing_taxa(tested).collect()}
     assert {"t03", "t07"} <= listed
 
@@ -58,3 +62,30 @@ def test_mixture_bias_recovers_a_shared_shift(spark):
     b[40:80] -= rng.normal(2, 0.2, 40)
     df = spark.createDataFrame([("e", float(x), float(s * s)) for x, s in zip(b, se)], "coefficient string, estimate double, variance double")
     assert differential._mixture_bias(df, 1e-5, 100)["e"] == pytest.approx(0.4, abs=0.02)
+
+
+def test_pseudo_counts_equal_refits(study):
+    counts, samples = study
+    factors = ["species", "time"]
+    table, theta, _, settled = differential._fit(counts, samples, None, factors, "genus", 0.02, 0, LEVELS, 1e-5, 20)
+    assert settled.converged and settled.rounds > 1
+    bias = {r.sample: r.theta for r in theta.collect()}
+    given = {r.sample: (1.0, float(r.species == "T"), float(r.time == "Jan21")) for r in samples.collect()}
+    n = {(r.taxon, r.sample): r.n for r in table.collect()}
+    order = sorted(bias)
+    x = np.array([given[s] for s in order])
+    inverse = np.linalg.inv(x.T @ x)
+    for r in differential.pseudo_fits(table, theta, samples, factors, (0.1, 0.5), LEVELS).collect():
+        y = np.array([np.log(n.get((r.taxon, s), 0) + r.pseudo) - bias[s] for s in order])
+        beta = inverse @ x.T @ y
+        error = ((y - x @ beta) ** 2).sum() / (len(order) - 3)
+        at = {"species[T]": 1, "time[Jan21]": 2}[r.coefficient]
+        assert r.estimate == pytest.approx(beta[at], abs=1e-9)
+        assert r.std_error == pytest.approx(np.sqrt(error * inverse[at, at]), rel=1e-9)
+
+
+def test_says_how_it_ended(study, tested):
+    assert all(r.converged and 1 < r.bias_rounds <= 20 and 0 < r.em_rounds for r in tested.collect())
+    counts, samples = study
+    table = differential.log_counts(counts, samples, None, ["species", "time"])
+    assert differential._bias(table, ["species", "time"], LEVELS, 1e-5, 1)[1] == differential.Settled(1, False)

@@ -66,6 +66,17 @@ def _(t):
     return distances.bray_curtis(t.counts)
 
 
+@query("bray_curtis_near", f"SELECT s1, s2, d FROM ({_BRAY}) WHERE d <= 0.85 /* FROM counts */", doubles="d")
+def _(t):
+    return distances.bray_curtis(t.counts, max_d=0.85)
+
+
+@query("nearest_samples", f"""WITH {{fixtures}}, p AS ({_BRAY}), b AS (SELECT s1 AS sample, s2 AS other, d FROM p UNION ALL SELECT s2, s1, d FROM p)
+    SELECT sample, other, d, CAST(row_number() OVER (PARTITION BY sample ORDER BY d, other) AS INTEGER) AS rank FROM b QUALIFY rank <= 3 /* FROM counts */""", doubles="d")
+def _(t):
+    return distances.nearest_samples(t.counts, 3)
+
+
 @query("autotransform", """WITH {fixtures}, top AS (SELECT max(n) AS m FROM genera),
     v AS (SELECT sample, taxon, CASE WHEN m > 50 THEN sqrt(n) ELSE CAST(n AS DOUBLE) END AS v, m FROM genera, top),
     s AS (SELECT *, v / max(v) OVER (PARTITION BY taxon) AS s FROM v)

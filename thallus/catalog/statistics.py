@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import QUANTILE_CENTRE, QUANTILE_FAR, QUANTILE_NEAR
 from ..operators import ecology, hypothesis, models, ranking
 from .registry import query
 
@@ -154,10 +155,37 @@ def _(t):
     return hypothesis.histogram(t.read("events"), "value", by=["event_type"])
 
 
-@query("normality_by_group")
+def _polynomial(values, r):
+    out = repr(values[0])
+    for v in values[1:]:
+        out = f"({out}) * {r} + {v!r}"
+    return f"({out})"
+
+
+def _quantile_sql(p):
+    centre, near, far = (lambda r, c=c: f"{_polynomial(c[0], r)} / {_polynomial(c[1], r)}" for c in (QUANTILE_CENTRE, QUANTILE_NEAR, QUANTILE_FAR))
+    r = f"sqrt(-ln(least({p}, 1 - ({p}))))"
+    return f"""CASE WHEN abs(({p}) - 0.5) <= 0.425 THEN (({p}) - 0.5) * {centre(f"(0.180625 - (({p}) - 0.5) ** 2)")}
+        WHEN {r} <= 5 THEN sign(({p}) - 0.5) * {near(f"({r} - 1.6e0)")} ELSE sign(({p}) - 0.5) * {far(f"({r} - 5e0)")} END"""
+
+
+@query("normality_by_group", f"""WITH {{fixtures}}, {_ROOTS}, e AS (SELECT species, time, y - avg(y) OVER (PARTITION BY species, time) AS x FROM r),
+    k AS (SELECT *, (row_number() OVER (PARTITION BY species, time ORDER BY x) - 0.375e0) / (count(*) OVER (PARTITION BY species, time) + 0.25e0) AS p,
+      row_number() OVER (PARTITION BY species, time ORDER BY x) AS up, row_number() OVER (PARTITION BY species, time ORDER BY x DESC) AS down FROM e),
+    m AS (SELECT *, {_quantile_sql("p")} AS m FROM k),
+    s AS (SELECT species, time, count(*) AS n, 1 / sqrt(CAST(count(*) AS DOUBLE)) AS u, sum(m * m) AS mm, sum(m * x) AS mx, var_pop(x) * count(*) AS ss,
+      max(m) AS m1, max(CASE WHEN down = 2 THEN m END) AS m2, max(CASE WHEN down = 1 THEN x END) - max(CASE WHEN up = 1 THEN x END) AS g1, max(CASE WHEN down = 2 THEN x END) - max(CASE WHEN up = 2 THEN x END) AS g2 FROM m GROUP BY 1, 2),
+    a AS (SELECT *, ((((-2.706056 * u + 4.434685) * u - 2.071190) * u - 0.147981) * u + 0.221157) * u + m1 / sqrt(mm) AS a1, ((((-3.582633 * u + 5.682633) * u - 1.752461) * u - 0.293762) * u + 0.042981) * u + m2 / sqrt(mm) AS a2 FROM s)
+    SELECT species, time, n, (a1 * g1 + a2 * g2 + (mx - m1 * g1 - m2 * g2) / sqrt((mm - 2 * m1 ** 2 - 2 * m2 ** 2) / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))) ** 2 / ss AS w FROM a""", doubles="w")
 def _(t):
+    """Groups of more than five values, as the twin has the weights for those."""
     rest = models.residuals(_roots(t), "root", ["species", "time", "species:time"])
-    return hypothesis.shapiro(rest, "residual", ["species", "time"])
+    return hypothesis.shapiro(rest, "residual", ["species", "time"]).select("species", "time", "n", "w")
+
+
+@query("normality_p_values")
+def _(t):
+    return hypothesis.shapiro(models.residuals(_roots(t), "root", ["species", "time", "species:time"]), "residual", ["species", "time"])
 
 
 @query("alpha_anova")

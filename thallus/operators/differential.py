@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..runtime import durable
 from . import taxonomy
 from .ecology import prevalence_filter
-from .models import _Columns, lm, residuals
-from .ranking import bh_adjust
+from .models import _Columns, cell_moments, complete_cases, fitted_cells, lm
+from .ranking import bh_adjust, quantiles
 from .relational import eligible_samples, null_safe_join
 
 PSEUDO_COUNTS = (0.1, 0.2, 0.3, 0.4, 0.5)
+# One number per sample, or per taxon and treatment, is broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
 
 
 def log_counts(counts: DataFrame, samples: DataFrame, tax: DataFrame | None, factors: Sequence[str], rank: str = "genus", prv_cut: float = 0.02, lib_cut: float = 0) -> DataFrame:
@@ -34,23 +36,43 @@ def taxon_ols(table: DataFrame, factors: Sequence[str], levels: Mapping[str, Seq
     return lm(table, "y", factors, by=["taxon"], levels=levels)
 
 
-def _bias(table: DataFrame, factors: Sequence[str], levels, tol: float, max_iter: int) -> DataFrame:
+@dataclass(frozen=True)
+class Settled:
+    """How an iteration ended: rounds done, and whether it met its tolerance before its last allowed one."""
+
+    rounds: int
+    converged: bool
+
+
+def _measured(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A small side of a join, broadcast if it is counted to be one."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
+def _bias(table: DataFrame, factors: Sequence[str], levels, tol: float, max_iter: int) -> tuple[DataFrame, Settled]:
     """Sampling bias per sample: alternate per-taxon fits and per-sample mean residuals.
 
-    Each round stores one number per sample, so neither the plan nor a recovery grows
-    with the number of rounds.
+    The cells are stored once in the order of their taxa, so a pass over them meets whole taxa and its
+    partial sums are what is shuffled, not the cells.  Moments of y and sums per sample never change;
+    a round adds the mean bias per taxon and treatment, solves, and sums the fitted values per sample.
     """
-    theta = durable(table.select("sample").distinct().withColumn("theta", F.lit(0.0)))
-    for _ in range(max_iter):
-        adjusted = table.join(theta, "sample").withColumn("z", F.col("y") - F.col("theta"))
-        rest = residuals(adjusted, "z", factors, by=["taxon"], levels=levels)
-        step = rest.groupBy("sample").agg(F.avg(F.col("residual") + F.col("theta")).alias("new"), F.max("theta").alias("theta"))
-        step = durable(step)
+    arranged = durable(table.repartitionByRange("taxon", "sample").sortWithinPartitions("taxon"))
+    cells = durable(cell_moments(arranged, "y", factors, [], ["taxon"], levels=levels))
+    seen = durable(arranged.groupBy("sample").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")))
+    theta, moved, rounds = durable(seen.select("sample", F.lit(0.0).alias("theta"))), None, 0
+    keys = ["taxon", *factors]
+    while rounds < max_iter:
+        rounds += 1
+        biased = arranged.join(_measured(theta, 64), "sample").groupBy(*keys).agg(F.avg("theta").alias("_theta"))
+        known = null_safe_join(cells, biased, keys, "inner").withColumn("m0", F.col("m0") - F.col("_theta")).select(*cells.columns)
+        fits = durable(fitted_cells(known, factors, factors, [], ["taxon"], levels))
+        fitted = null_safe_join(arranged, _measured(fits, 128), keys, "inner").groupBy("sample").agg(F.sum("_base").alias("_fitted"))
+        step = durable(seen.join(fitted, "sample").join(theta, "sample").select("sample", "theta", ((F.col("y") - F.col("_fitted")) / F.col("n")).alias("new")))
         moved = step.agg(F.max(F.abs(F.col("new") - F.col("theta")))).first()[0]
         theta = step.select("sample", F.col("new").alias("theta"))
         if moved is None or moved < tol:
             break
-    return theta
+    return theta, Settled(rounds, moved is None or moved < tol)
 
 
 _PARAMETERS = ("delta", "l1", "l2", "k1", "k2", "p0", "p1", "p2")
@@ -105,19 +127,24 @@ def _em_round(estimates: DataFrame, states: Mapping[str, dict[str, float]]) -> d
 
 
 def _mixture_bias(estimates: DataFrame, tol: float, max_iter: int) -> dict[str, float]:
-    """Shared bias per coefficient by EM for a three-part normal mixture over taxa.
+    """Shared bias per coefficient, see ``_mixture``."""
+    return {name: delta for name, (delta, _) in _mixture(estimates, tol, max_iter).items()}
+
 
-    ``estimates(coefficient, estimate, variance)``.  Every third round starts from a squared
+def _mixture(estimates: DataFrame, tol: float, max_iter: int) -> dict[str, tuple[float, Settled]]:
+    """Shared bias per coefficient by EM for a three-part normal mixture over taxa, and how it ended.
+
+    ``estimates(coefficient, estimate, variance)``.  It starts from exact quantiles.  Every third round starts from a squared
     extrapolation of the two before it, which reaches the fixed point in far fewer passes
     over the taxa.  A coefficient is done when neither its bias nor the mean log-likelihood
     moves by ``tol``; the mixture's other parameters may be barely identified.
     """
-    ends = estimates.groupBy("coefficient").agg(F.percentile_approx("estimate", [0.125, 0.25, 0.75, 0.875], 10000).alias("q"))
+    ends = quantiles(estimates, "estimate", {"q1": 0.125, "q2": 0.25, "q6": 0.75, "q7": 0.875}, ["coefficient"])
     named = estimates.join(ends, "coefficient")
     b = F.col("estimate")
-    low, high = F.when(b < F.col("q")[0], b), F.when(b > F.col("q")[3], b)
+    low, high = F.when(b < F.col("q1"), b), F.when(b > F.col("q7"), b)
     start = named.groupBy("coefficient").agg(
-        F.avg(F.when(b.between(F.col("q")[1], F.col("q")[2]), b)).alias("delta"), F.avg(low).alias("low"), F.avg(high).alias("high"),
+        F.avg(F.when(b.between(F.col("q2"), F.col("q6")), b)).alias("delta"), F.avg(low).alias("low"), F.avg(high).alias("high"),
         F.coalesce(F.var_samp(low), F.lit(1.0)).alias("k1"), F.coalesce(F.var_samp(high), F.lit(1.0)).alias("k2"),
     ).collect()
     states = {
@@ -131,7 +158,7 @@ def _mixture_bias(estimates: DataFrame, tol: float, max_iter: int) -> dict[str,
     def gap(a: dict[str, float], c: dict[str, float]) -> float:
         return math.sqrt(sum((a[f] - c[f]) ** 2 for f in _PARAMETERS))
 
-    active, rounds = set(states), 0
+    active, rounds, ended = set(states), 0, {}
     while active and rounds < max_iter:
         first = {name: states[name] for name in active}
         second = _em_round(estimates, first)
@@ -142,6 +169,7 @@ def _mixture_bias(estimates: DataFrame, tol: float, max_iter: int) -> dict[str,
             settled = abs(third[name]["fit"] - second[name]["fit"]) < tol
             if settled and max(abs(s[name]["delta"] - first[name]["delta"]) for s in (second, third)) < tol:
                 active.discard(name)
+                ended[name] = rounds
                 continue
             step = gap(second[name], first[name])
             turn = math.sqrt(sum((third[name][f] - 2 * second[name][f] + first[name][f]) ** 2 for f in _PARAMETERS))
@@ -154,14 +182,15 @@ def _mixture_bias(estimates: DataFrame, tol: float, max_iter: int) -> dict[str,
         if active:
             states.update(_em_round(estimates, {name: states[name] for name in active}))
             rounds += 1
-    return {name: s["delta"] for name, s in states.items()}
+    return {name: (s["delta"], Settled(ended.get(name, rounds), name in ended)) for name, s in states.items()}
 
 
 def _fit(counts, samples, tax, factors, rank, prv_cut, lib_cut, levels, tol, max_iter):
-    table = durable(log_counts(counts, eligible_samples(samples), tax, factors, rank, prv_cut, lib_cut))
-    theta = _bias(table, factors, levels, tol, max_iter)
+    """Cells that have all factors, bias per sample, per-taxon fits of the corrected counts, and how the bias ended."""
+    table = durable(complete_cases(log_counts(counts, eligible_samples(samples), tax, factors, rank, prv_cut, lib_cut), factors, levels))
+    theta, settled = _bias(table, factors, levels, tol, max_iter)
     adjusted = table.join(theta, "sample").withColumn("z", F.col("y") - F.col("theta"))
-    return table, theta, durable(lm(adjusted, "z", factors, by=["taxon"], levels=levels))
+    return table, theta, durable(lm(adjusted, "z", factors, by=["taxon"], levels=levels)), settled
 
 
 def diff_abundance(
@@ -169,27 +198,39 @@ def diff_abundance(
     prv_cut: float = 0.02, lib_cut: float = 0, s0_perc: float = 0.01, alpha: float = 0.05,
     tol: float = 1e-5, max_iter: int = 20, em_max_iter: int = 100, levels: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
-    """``taxon, coefficient, lfc, se, w, p_value, q_value, diff`` per non-intercept coefficient."""
-    _, _, fits = _fit(counts, samples, tax, factors, rank, prv_cut, lib_cut, levels, tol, max_iter)
-    return _tested(fits, s0_perc, alpha, tol, em_max_iter)
+    """``taxon, coefficient, lfc, se, w, p_value, q_value, diff`` per non-intercept coefficient, with the
+    rounds that both iterations took (``bias_rounds``, ``em_rounds``) and whether both ``converged``."""
+    _, _, fits, settled = _fit(counts, samples, tax, factors, rank, prv_cut, lib_cut, levels, tol, max_iter)
+    return _tested(fits, settled, s0_perc, alpha, tol, em_max_iter)
+
+
+def scored(effects: DataFrame, bias: Mapping[str, float], s0_perc: float, alpha: float) -> DataFrame:
+    """``taxon, coefficient, lfc, se, w, p_value, q_value, diff`` from estimates and the bias that their coefficient shares."""
+    delta = F.create_map(*[F.lit(x) for pair in bias.items() for x in pair])[F.col("coefficient")] if bias else F.lit(0.0)
+    floor = quantiles(effects, "se", {"s0": s0_perc}, ["coefficient"])
+    tested = effects.join(floor, "coefficient").withColumn("lfc", F.col("estimate") - delta)
+    tested = tested.withColumn("w", F.col("lfc") / (F.col("se") + F.col("s0"))).withColumn("p_value", tails.normal_p(F.col("w")))
+    adjusted = bh_adjust(tested.select("taxon", "coefficient", "lfc", "se", "w", "p_value"), "p_value", ["coefficient"], "q_value")
+    return adjusted.withColumn("diff", F.col("q_value") < alpha)
 
 
-def _tested(fits: DataFrame, s0_perc: float, alpha: float, tol: float, em_max_iter: int) -> DataFrame:
-    effects = fits.where((F.col("coefficient") != "(Intercept)") & F.col("std_error").isNotNull()).select(
+def effects_of(fits: DataFrame) -> DataFrame:
+    """(taxon, coefficient, estimate, variance, se) of the coefficients that have a spread."""
+    return fits.where((F.col("coefficient") != "(Intercept)") & F.col("std_error").isNotNull()).select(
         "taxon", "coefficient", "estimate", (F.col("std_error") ** 2).alias("variance"), F.col("std_error").alias("se")
     )
+
+
+def _tested(fits: DataFrame, settled: Settled, s0_perc: float, alpha: float, tol: float, em_max_iter: int) -> DataFrame:
     # every EM round reads these few columns: kept in memory, rebuilt from the stored table if lost
-    effects = durable(effects).persist()
-    bias = _mixture_bias(effects, tol, em_max_iter)
-    if bias:
-        delta = F.create_map(*[F.lit(x) for pair in bias.items() for x in pair])[F.col("coefficient")]
-    else:
-        delta = F.lit(0.0)
-    floor = effects.groupBy("coefficient").agg(F.percentile_approx("se", s0_perc, 10000).alias("s0"))
-    scored = effects.join(floor, "coefficient").withColumn("lfc", F.col("estimate") - delta)
-    scored = scored.withColumn("w", F.col("lfc") / (F.col("se") + F.col("s0"))).withColumn("p_value", tails.normal_p(F.col("w")))
-    adjusted = bh_adjust(scored.select("taxon", "coefficient", "lfc", "se", "w", "p_value"), "p_value", ["coefficient"], "q_value")
-    return adjusted.withColumn("diff", F.col("q_value") < alpha)
+    effects = durable(effects_of(fits)).persist()
+    mixture = _mixture(effects, tol, em_max_iter)
+    rows = scored(effects, {name: delta for name, (delta, _) in mixture.items()}, s0_perc, alpha)
+    rounds, good = F.lit(None).cast("int"), F.lit(None).cast("boolean")
+    for name, (_, ended) in mixture.items():
+        rounds = F.when(F.col("coefficient") == name, ended.rounds).otherwise(rounds)
+        good = F.when(F.col("coefficient") == name, ended.converged and settled.converged).otherwise(good)
+    return rows.select("*", F.lit(settled.rounds).alias("bias_rounds"), rounds.alias("em_rounds"), good.alias("converged"))
 
 
 def diff_sensitivity(
@@ -201,58 +242,73 @@ def diff_sensitivity(
 
     Every pseudo-count is added to all counts and the fit repeated.  The zeros of a taxon
     enter as moments: number, mean and spread of the bias over the samples of a treatment
-    that lack it, so the zero cells are never listed.  Adds ``pseudo_agree`` (how many of
-    the refits give the same decision) and ``sensitive``.
+    that lack it, so the zero cells are never listed.  With its zeros filled in, every taxon has
+    the same design: the normal equations are solved once, for the treatments, and a taxon's
+    coefficients and residuals are fixed combinations of its treatment means.  Adds
+    ``pseudo_agree`` (how many of the refits give the same decision) and ``sensitive``.
     """
-    table, theta, fits = _fit(counts, samples, tax, factors, rank, prv_cut, lib_cut, levels, tol, max_iter)
-    main = durable(_tested(fits, s0_perc, alpha, tol, em_max_iter))
-    treatments = samples.select("sample", *factors)
-    everywhere = theta.join(treatments, "sample").groupBy(*factors).agg(
-        F.count(F.lit(1)).alias("all_n"), F.sum("theta").alias("all_t"), F.sum(F.col("theta") ** 2).alias("all_tt")
+    table, theta, fits, settled = _fit(counts, samples, tax, factors, rank, prv_cut, lib_cut, levels, tol, max_iter)
+    main = durable(_tested(fits, settled, s0_perc, alpha, tol, em_max_iter))
+    refit = pseudo_fits(table, theta, samples, factors, pseudo, levels)
+    decided = bh_adjust(refit.select("taxon", "pseudo", "coefficient", "p"), "p", ["pseudo", "coefficient"], "q")
+    votes = decided.groupBy("taxon", "coefficient").agg(F.count_if(F.col("q") < alpha).alias("yes"), F.count(F.lit(1)).alias("fits"))
+    judged = main.join(votes, ["taxon", "coefficient"], "left")
+    agree = F.when(F.col("diff"), F.coalesce("yes", F.lit(0))).otherwise(F.col("fits") - F.col("yes"))
+    return judged.withColumn("pseudo_agree", agree).withColumn("sensitive", agree < F.coalesce("fits", F.lit(len(pseudo)))).drop("yes", "fits")
+
+
+def pseudo_fits(
+    table: DataFrame, theta: DataFrame, samples: DataFrame, factors: Sequence[str], pseudo: Sequence[float], levels: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """(taxon, pseudo, coefficient, estimate, std_error, p) of log(count + pseudo) - theta over all samples, zeros included."""
+    everywhere = theta.join(samples.select("sample", *factors), "sample").groupBy(*factors).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("theta").alias("all_t"), F.sum(F.col("theta") ** 2).alias("all_tt")
+    ).toPandas()  # a row per treatment
+    design = _Columns(everywhere.assign(m0=0.0, c0_0=0.0), list(factors), [], factors, dict(levels or {}), centre=False)
+    _, kept = design.rss(design.of_terms(range(len(factors))))
+    x = np.column_stack([design.parts[j][0] for j in kept])
+    weight = everywhere["n"].to_numpy()
+    inverse = np.linalg.inv(x.T @ (x * weight[:, None]))
+    solve, dof = inverse @ (x * weight[:, None]).T, float(weight.sum()) - len(kept)
+    fit = x @ solve
+    fields = {f.name: f.dataType.simpleString() for f in table.schema.fields if f.name in factors}
+    listed = table.sparkSession.createDataFrame(
+        [(*[r[f] for f in factors], g, float(r["n"]), float(r["all_t"]), float(r["all_tt"])) for g, (_, r) in enumerate(everywhere.iterrows())],
+        ", ".join([*[f"`{f}` {fields[f]}" for f in factors], "g int, all_n double, all_t double, all_tt double"]),
     )
+    levels_of = F.explode(F.array(*[F.lit(float(p)) for p in pseudo]))
     joined = table.join(theta, "sample")
-    varied = joined.withColumn("pseudo", F.explode(F.array(*[F.lit(float(p)) for p in pseudo])))
-    varied = varied.withColumn("z", F.log(F.col("n") + F.col("pseudo")) - F.col("theta"))
+    varied = joined.withColumn("pseudo", levels_of).withColumn("z", F.log(F.col("n") + F.col("pseudo")) - F.col("theta"))
     present = varied.groupBy("taxon", "pseudo", *factors).agg(
         F.count(F.lit(1)).alias("k"), F.avg("z").alias("m"), F.var_pop("z").alias("v"), F.sum("theta").alias("t"), F.sum(F.col("theta") ** 2).alias("tt")
     )
     # every taxon in every treatment: treatments are few, so they ride along as one array
-    listed = everywhere.agg(F.collect_list(F.struct(*everywhere.columns))).scalar()
-    grid = table.select("taxon").distinct().withColumn("pseudo", F.explode(F.array(*[F.lit(float(p)) for p in pseudo])))
-    grid = grid.withColumn("_g", F.explode(listed)).select("taxon", "pseudo", "_g.*")
+    treatments = listed.agg(F.collect_list(F.struct(*listed.columns))).scalar()
+    grid = table.select("taxon").distinct().withColumn("pseudo", levels_of)
+    grid = grid.withColumn("_g", F.explode(treatments)).select("taxon", "pseudo", "_g.*")
     cells = null_safe_join(grid, present, ["taxon", "pseudo", *factors])
     zeros = F.col("all_n") - F.coalesce("k", F.lit(0))
-    mean_zero = F.log("pseudo") - F.coalesce(F.try_divide(F.col("all_t") - F.coalesce("t", F.lit(0.0)), zeros), F.lit(0.0))
-    square_zero = F.greatest(
-        F.col("all_tt") - F.coalesce("tt", F.lit(0.0)) - F.coalesce(F.try_divide((F.col("all_t") - F.coalesce("t", F.lit(0.0))) ** 2, zeros), F.lit(0.0)), F.lit(0.0)
-    )
+    missing = F.col("all_t") - F.coalesce("t", F.lit(0.0))
+    mean_zero = F.log("pseudo") - F.coalesce(F.try_divide(missing, zeros), F.lit(0.0))
+    square_zero = F.greatest(F.col("all_tt") - F.coalesce("tt", F.lit(0.0)) - F.coalesce(F.try_divide(missing**2, zeros), F.lit(0.0)), F.lit(0.0))
     k, m = F.coalesce("k", F.lit(0)), F.coalesce("m", F.lit(0.0))
     between = k * zeros / F.col("all_n") * (m - mean_zero) ** 2
-    moments = cells.select(
-        "taxon", "pseudo", *factors, F.col("all_n").cast("double").alias("n"), ((k * m + zeros * mean_zero) / F.col("all_n")).alias("m0"),
-        (k * F.coalesce("v", F.lit(0.0)) + square_zero + between).alias("c0_0"),
-    )
-    known = dict(levels or {})
-    by = ["taxon", "pseudo"]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = _Columns(pdf, list(factors), [], factors, known, centre=False)
-        rss, kept = model.rss(model.of_terms(range(len(factors))))
-        dof, y = model.n.sum() - len(kept), len(model.parts) - 1
-        inverse = np.linalg.inv(model.gram[np.ix_(kept, kept)])
-        beta = inverse @ model.gram[kept, y]
-        rows = []
-        for at, j in enumerate(kept):
-            if j and dof > 0 and rss > 0:
-                rows.append((pdf["taxon"].iloc[0], pdf["pseudo"].iloc[0], model.names[j], tails.t_tail(beta[at] / math.sqrt(rss / dof * inverse[at, at]), dof)))
-        return pd.DataFrame(rows, columns=["taxon", "pseudo", "coefficient", "p"])
-
-    refit = moments.groupBy(*by).applyInPandas(solve, "taxon string, pseudo double, coefficient string, p double")
-    decided = bh_adjust(refit, "p", ["pseudo", "coefficient"], "q")
-    votes = decided.groupBy("taxon", "coefficient").agg(F.count_if(F.col("q") < alpha).alias("yes"), F.count(F.lit(1)).alias("fits"))
-    judged = main.join(votes, ["taxon", "coefficient"], "left")
-    agree = F.when(F.col("diff"), F.coalesce("yes", F.lit(0))).otherwise(F.col("fits") - F.col("yes"))
-    return judged.withColumn("pseudo_agree", agree).withColumn("sensitive", agree < F.coalesce("fits", F.lit(len(pseudo)))).drop("yes", "fits")
+    moments = cells.select("taxon", "pseudo", "g", ((k * m + zeros * mean_zero) / F.col("all_n")).alias("m"), (k * F.coalesce("v", F.lit(0.0)) + square_zero + between).alias("c"))
+    rows = moments.groupBy("taxon", "pseudo").agg(F.sort_array(F.collect_list(F.struct("g", "m"))).alias("ms"), F.sum("c").alias("inside"))  # a number per treatment
+
+    def combined(weights: np.ndarray) -> Column:
+        return sum((F.lit(float(w)) * F.col("ms")[g]["m"] for g, w in enumerate(weights)), F.lit(0.0))
+
+    spread = sum((float(weight[g]) * (F.col("ms")[g]["m"] - combined(fit[g])) ** 2 for g in range(len(weight))), F.lit(0.0))
+    rows = rows.withColumn("error", (F.col("inside") + spread) / dof if dof > 0 else F.lit(None).cast("double"))
+    told = [
+        F.struct(F.lit(design.names[j]).alias("coefficient"), combined(solve[a]).alias("estimate"), F.sqrt(F.col("error") * float(inverse[a, a])).alias("std_error"))
+        for a, j in enumerate(kept) if j
+    ]
+    if not told:
+        return rows.select("taxon", "pseudo", F.lit("").alias("coefficient"), F.lit(0.0).alias("estimate"), F.lit(0.0).alias("std_error"), F.lit(0.0).alias("p")).where("false")
+    listed_fits = rows.select("taxon", "pseudo", F.inline(F.array(*told))).where("std_error > 0")
+    return listed_fits.withColumn("p", tails.t_p(F.col("estimate") / F.col("std_error"), F.lit(dof)))
 
 
 def differing_taxa(tested: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..functions.numeric import normal_quantile
 from .ranking import SLICE, bh_adjust, sliced, value_counts
 from .relational import attach, null_safe_join
 
@@ -167,20 +168,12 @@ def _royston(n: int, normed: float, weighted: float, spread: float, outer_gap: f
     return w, 0.5 * math.erfc((z - mu) / sigma / math.sqrt(2))
 
 
-def _score_sums(first: pd.Series, length: pd.Series, n: pd.Series) -> pd.DataFrame:
-    """Sums of the normal scores, and of their squares, over ranks first .. first + length - 1 of n."""
-    quantile, rows = NormalDist().inv_cdf, []
-    for at, much, of in zip(first, length, n):
-        m = [quantile((i - 0.375) / (of + 0.25)) for i in range(at, at + much)]
-        rows.append((math.fsum(m), math.fsum(v * v for v in m)))
-    return pd.DataFrame(rows, columns=["one", "two"])
-
-
 def shapiro(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     """Shapiro-Wilk per group: ``w`` for groups of any size from 3 values on.
 
     Equal values are counted and ranked by running totals, a frequent one in runs of
-    ``RANK_RUN`` ranks, and W comes out of sums over ranks, so no task ever holds a group.  The
+    ``RANK_RUN`` ranks, and W comes out of sums over ranks, so no task ever holds a group; normal
+    scores are expressions, Python sees one row per group.  The
     published p-value approximation ends at 5000 values: beyond, ``in_range`` is false and
     ``p_value`` NULL.  Below 3 values both results are NULL.
     """
@@ -189,15 +182,15 @@ def shapiro(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     placed = attach(value_counts(used, "_x", by), sizes, by)
     runs = placed.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RANK_RUN))))
     runs = runs.withColumn("_first", F.col("before_n") + 1 + F.col("_run") * RANK_RUN)
-    scores = F.pandas_udf(_score_sums, "one double, two double")
-    runs = runs.withColumn("_m", scores("_first", F.least(F.col("n") - F.col("_run") * RANK_RUN, F.lit(RANK_RUN)), "_size"))
+    runs = runs.withColumn("_rank", F.explode(F.sequence("_first", F.least(F.col("_first") + RANK_RUN - 1, F.col("before_n") + F.col("n")))))
+    runs = runs.withColumn("_m", normal_quantile((F.col("_rank") - 0.375) / (F.col("_size") + 0.25)))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("before_n") < rank) & (rank <= F.col("before_n") + F.col("n")), F.col("_x")))
 
     size = F.col("_size")
     sums = runs.groupBy(*by, "_size", "_spread").agg(
-        F.sum(F.col("_m.two")).alias("_normed"), F.sum(F.col("_m.one") * (F.col("_x") - F.col("_mean"))).alias("_weighted"),
+        F.sum(F.col("_m") * F.col("_m")).alias("_normed"), F.sum(F.col("_m") * (F.col("_x") - F.col("_mean"))).alias("_weighted"),
         (at(size) - at(F.lit(1))).alias("_outer"), (at(size - 1) - at(F.lit(2))).alias("_inner"),
     )
     names = ["_size", "_normed", "_weighted", "_spread", "_outer", "_inner"]

@@ -222,10 +222,23 @@ def residuals(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = (
     """Rows used by the fit, with ``fitted`` and ``residual``.  Each cell gets a base value
     and one slope per numeric part; only those small rows are joined back."""
     factors, covariates = variables(df, terms)
-    levels = dict(levels or {})
     numeric = products(terms, covariates)
     cells = cell_moments(df, y, factors, covariates, by, terms, levels)
+    fits = fitted_cells(cells, terms, factors, covariates, by, levels)
+    used = complete_cases(df, [y, *factors, *covariates], levels)
+    joined = attach(used, fits, [*_ordered(by, cells), *factors])
+    fitted = F.col("_base")
+    slopes = [f"_s{i}" for i in range(len(numeric))]
+    for s, part in zip(slopes, numeric):
+        fitted = fitted + F.col(s) * product_column(part)
+    return joined.withColumn("fitted", fitted).withColumn("residual", F.col(y) - F.col("fitted")).drop("_base", *slopes)
+
+
+def fitted_cells(cells: DataFrame, terms: Sequence[str], factors: Sequence[str], covariates: Sequence[str], by: Sequence[str] = (), levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """Per cell of ``cell_moments`` its base value ``_base`` and one slope ``_s<i>`` per numeric part."""
+    levels = dict(levels or {})
     keys = [*_ordered(by, cells), *factors]
+    numeric = products(terms, covariates)
     slopes = [f"_s{i}" for i in range(len(numeric))]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -244,13 +257,7 @@ def residuals(df: DataFrame, y: str, terms: Sequence[str], by: Sequence[str] = (
 
     schema = _head_schema(cells, keys) + ", ".join(f"{c} double" for c in ["_base", *slopes])
     schema_order = [c for c in cells.columns if c in keys]
-    fits = cells.groupBy(*[k for k in keys if k in by]).applyInPandas(lambda pdf: solve(pdf)[[*schema_order, "_base", *slopes]], schema)
-    used = complete_cases(df, [y, *factors, *covariates], levels)
-    joined = attach(used, fits, keys)
-    fitted = F.col("_base")
-    for s, part in zip(slopes, numeric):
-        fitted = fitted + F.col(s) * product_column(part)
-    return joined.withColumn("fitted", fitted).withColumn("residual", F.col(y) - F.col("fitted")).drop("_base", *slopes)
+    return cells.groupBy(*[k for k in keys if k in by]).applyInPandas(lambda pdf: solve(pdf)[[*schema_order, "_base", *slopes]], schema)
 
 
 # -- random intercepts -------------------------------------------------------------

@@ -7,9 +7,9 @@ than one slice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import durable
@@ -52,6 +52,23 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return running_totals(counted, [value], ["n"], by)
 
 
+def quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles per group, interpolated between the two ranks around ``p (n - 1)``: one column per probability."""
+    counted = value_counts(df, value, by)
+    sizes = counted.groupBy(*by).agg(F.sum("n").alias("_all"))
+    placed = attach(counted, sizes, by)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n")), F.col(value)))
+
+    columns = []
+    for name, p in probabilities.items():
+        place = F.lit(float(p)) * (F.col("_all") - 1)
+        columns += [at(F.floor(place)).alias(f"_low_{name}"), at(F.ceil(place)).alias(f"_high_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+    found = placed.groupBy(*by).agg(*columns)
+    return found.select(*by, *[(F.col(f"_low_{c}") + F.col(f"_part_{c}") * (F.col(f"_high_{c}") - F.col(f"_low_{c}"))).alias(c) for c in probabilities])
+
+
 def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
     """Distinct keys numbered from zero in key order."""
     keys = df.select(key).distinct().withColumn("_one", F.lit(1).cast("long"))
