@@ -47,6 +47,11 @@ FIXTURES: dict[str, str] = {
         CASE WHEN user_id % 13 = 0 THEN NULL ELSE 100.0 * avg(CASE WHEN event_type = 'error' THEN 1e0 ELSE 0e0 END) END AS am,
         CASE WHEN user_id % 13 = 0 THEN NULL ELSE 100.0 * avg(CASE WHEN event_type = 'view' THEN 1e0 ELSE 0e0 END) END AS endophyte,
         avg(value) AS height FROM events GROUP BY 1, 2, 3, 4, user_id % 13""",
+    "daily": """SELECT concat(CAST(user_id AS VARCHAR), '_', CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 'June20' ELSE 'Jan21' END) AS sample,
+        CASE WHEN event_type = 'signup' THEN 'signup' ELSE strftime(ts, '%Y-%m-%d') END AS feature, count(*) AS n FROM events GROUP BY 1, 2""",
+    "users": """SELECT DISTINCT concat(CAST(user_id AS VARCHAR), '_', CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 'June20' ELSE 'Jan21' END) AS sample, user_id AS pot,
+        CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'T' END AS species, CASE WHEN user_id % 11 = 0 THEN 'C' ELSE 'S' END AS stand,
+        CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 'June20' ELSE 'Jan21' END AS time FROM events""",
     "points": """SELECT vec_id AS id, label AS grp, -111.75 + 0.05 * CAST(embedding[1] AS DOUBLE) AS lon,
         38.52 + 0.05 * CAST(embedding[2] AS DOUBLE) AS lat FROM embeddings""",
     "hits": "SELECT l_orderkey AS query, CAST(l_partkey AS VARCHAR) AS subject, l_extendedprice AS score, l_linenumber AS tie FROM lineitem",
@@ -104,3 +109,9 @@ def with_fixtures(body: str) -> str:
     if "{fixtures}" in body:
         return body.replace("{fixtures}", clause)
     return f"WITH {clause} {body}" if clause else body
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    """Two-sided tail of Student's t: Simpson's rule over 2,000 intervals of the density."""
+    steps = f"list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + ((i * abs({t}) / 2000e0) ** 2) / ({df}), -(({df}) + 1) / 2e0)))"
+    return f"(1 - 2 * exp(lgamma((({df}) + 1) / 2e0) - lgamma(({df}) / 2e0)) / sqrt(({df}) * pi()) * {steps} * abs({t}) / 2000e0 / 3)"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import QUANTILE_CENTRE, QUANTILE_FAR, QUANTILE_NEAR
 from ..operators import ecology, hypothesis, models, ranking
 from .registry import query
+from .sql import t_tail_sql
 
 
 def _roots(t):
@@ -45,11 +46,12 @@ def _(t):
 
 @query("anova_oneway", f"""WITH {{fixtures}}, {_ROOTS}, c AS (SELECT time, species, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM r GROUP BY 1, 2),
     g AS (SELECT time, avg(y) AS gm FROM r GROUP BY 1),
-    s AS (SELECT time, sum(c.n * (c.m - g.gm) ** 2) AS ssb, sum(c.ss) AS ssw, count(*) AS k, CAST(sum(c.n) AS DOUBLE) AS n FROM c JOIN g USING (time) GROUP BY 1)
-    SELECT time, 'species' AS term, ssb AS sum_sq, CAST(k - 1 AS DOUBLE) AS df, (ssb / (k - 1)) / (ssw / (n - k)) AS f_value FROM s
-    UNION ALL SELECT time, 'Residuals', ssw, n - k, NULL FROM s""", doubles="sum_sq df f_value")
+    s AS (SELECT time, sum(c.n * (c.m - g.gm) ** 2) AS ssb, sum(c.ss) AS ssw, count(*) AS k, CAST(sum(c.n) AS DOUBLE) AS n FROM c JOIN g USING (time) GROUP BY 1),
+    t AS (SELECT time, 'species' AS term, ssb AS sum_sq, CAST(k - 1 AS DOUBLE) AS df, (ssb / (k - 1)) / (ssw / (n - k)) AS f_value, n - k AS rest FROM s
+      UNION ALL SELECT time, 'Residuals', ssw, n - k, NULL, n - k FROM s)
+    SELECT time, term, sum_sq, df, f_value, CASE WHEN f_value IS NOT NULL THEN {t_tail_sql('sqrt(f_value)', 'rest')} END AS p_value FROM t""", doubles="sum_sq df f_value p_value")
 def _(t):
-    return models.anova(_roots(t), "root", ["species"], by=["time"]).drop("p_value")
+    return models.anova(_roots(t), "root", ["species"], by=["time"])
 
 
 # residual sums of squares of the nested models; species is coded a, residualised on time
@@ -60,20 +62,22 @@ _NESTED = f"""{_ROOTS}, z AS (SELECT y, species, time, CASE WHEN species = 'T' T
 
 
 @query("anova_twoway", f"""WITH {{fixtures}}, {_NESTED}
-    SELECT 'species' AS term, rt - ra AS sum_sq, 1e0 AS df, (rt - ra) / (rf / (n - 4)) AS f_value FROM rss
-    UNION ALL SELECT 'time', rs - ra, 1e0, (rs - ra) / (rf / (n - 4)) FROM rss
-    UNION ALL SELECT 'species:time', ra - rf, 1e0, (ra - rf) / (rf / (n - 4)) FROM rss UNION ALL SELECT 'Residuals', rf, n - 4, NULL FROM rss""", doubles="sum_sq df f_value")
+    , t AS (SELECT 'species' AS term, rt - ra AS sum_sq, 1e0 AS df, (rt - ra) / (rf / (n - 4)) AS f_value, n FROM rss
+      UNION ALL SELECT 'time', rs - ra, 1e0, (rs - ra) / (rf / (n - 4)), n FROM rss
+      UNION ALL SELECT 'species:time', ra - rf, 1e0, (ra - rf) / (rf / (n - 4)), n FROM rss UNION ALL SELECT 'Residuals', rf, n - 4, NULL, n FROM rss)
+    SELECT term, sum_sq, df, f_value, CASE WHEN f_value IS NOT NULL THEN {t_tail_sql('sqrt(f_value)', 'n - 4')} END AS p_value FROM t""", doubles="sum_sq df f_value p_value")
 def _(t):
-    return models.anova(_roots(t), "root", ["species", "time", "species:time"]).drop("p_value")
+    return models.anova(_roots(t), "root", ["species", "time", "species:time"])
 
 
 @query("ancova", f"""WITH {{fixtures}}, {_ROOTS}, z AS (SELECT y, height AS x, species FROM r WHERE height IS NOT NULL),
     w AS (SELECT *, y - avg(y) OVER (PARTITION BY species) AS ys, x - avg(x) OVER (PARTITION BY species) AS xs FROM z),
     rss AS (SELECT sum(ys * ys) AS rs, sum(ys * ys) - sum(xs * ys) ** 2 / sum(xs * xs) AS ra, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS rx, CAST(count(*) AS DOUBLE) AS n FROM w)
-    SELECT 'species' AS term, rx - ra AS sum_sq, 1e0 AS df, (rx - ra) / (ra / (n - 3)) AS f_value FROM rss
-    UNION ALL SELECT 'height', rs - ra, 1e0, (rs - ra) / (ra / (n - 3)) FROM rss UNION ALL SELECT 'Residuals', ra, n - 3, NULL FROM rss""", doubles="sum_sq df f_value")
+    , t AS (SELECT 'species' AS term, rx - ra AS sum_sq, 1e0 AS df, (rx - ra) / (ra / (n - 3)) AS f_value, n FROM rss
+      UNION ALL SELECT 'height', rs - ra, 1e0, (rs - ra) / (ra / (n - 3)), n FROM rss UNION ALL SELECT 'Residuals', ra, n - 3, NULL, n FROM rss)
+    SELECT term, sum_sq, df, f_value, CASE WHEN f_value IS NOT NULL THEN {t_tail_sql('sqrt(f_value)', 'n - 3')} END AS p_value FROM t""", doubles="sum_sq df f_value p_value")
 def _(t):
-    return models.anova(_roots(t), "root", ["species", "height"]).drop("p_value")
+    return models.anova(_roots(t), "root", ["species", "height"])
 
 
 @query("mixed_model")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import ecology, relational, taxonomy
 from ..operators.sequences import ADAPTER_PRIMER, FRONT_PRIMER
 from ..plans import analyses
-from ..runtime import shared_dir
+from ..runtime import durable, shared_dir
 
 DEPTH, SEED = 275, 67
 TIMES, SPECIES = ("June20", "Jan21"), ("A", "T")
@@ -108,6 +108,33 @@ class Tables:
             "time", "ecm", "am", "endophyte", "height",
         )
 
+    @cached_property
+    def daily(self) -> DataFrame:
+        """Events of a user in one half of the time, by day; sign-ups by that name."""
+        feature = F.when(F.col("event_type") == "signup", "signup").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("feature")
+        return self._halves().groupBy("sample", feature).agg(F.count(F.lit(1)).alias("n"))
+
+    @cached_property
+    def users(self) -> DataFrame:
+        user = F.col("user_id")
+        return self._halves().select("sample", "user_id", "time").distinct().select(
+            "sample", user.alias("pot"), F.when(user % 2 == 0, "A").otherwise("T").alias("species"),
+            F.when(user % 11 == 0, "C").otherwise("S").alias("stand"), "time",
+        )
+
+    def _halves(self) -> DataFrame:
+        events = self.read("events")
+        early = F.col("ts") < F.lit("2024-01-16 00:00:00").cast(events.schema["ts"].dataType)
+        time = F.when(early, "June20").otherwise("Jan21")
+        return events.withColumn("time", time).withColumn("sample", F.concat(F.col("user_id").cast("string"), F.lit("_"), "time"))
+
+    @cached_property
+    def days(self) -> analyses.Community:
+        """Days and sign-ups as taxa of the users."""
+        daily = durable(self.daily)
+        taxa = daily.select("feature").distinct().withColumn("genus", F.col("feature"))
+        return analyses.Community(daily, ecology.relativize(daily), self.users, taxa, daily)
+
     @cached_property
     def points(self) -> DataFrame:
         return self.read("embeddings").select(

@@ -75,6 +75,11 @@ def _bias(table: DataFrame, factors: Sequence[str], levels, tol: float, max_iter
     return theta, Settled(rounds, moved is None or moved < tol)
 
 
+def sampling_bias(table: DataFrame, factors: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None, rounds: int = 20, tol: float = 1e-5) -> DataFrame:
+    """``(sample, theta)`` after at most so many rounds."""
+    return _bias(complete_cases(table, factors, levels), factors, levels, tol, rounds)[0]
+
+
 _PARAMETERS = ("delta", "l1", "l2", "k1", "k2", "p0", "p1", "p2")
 
 

@@ -19,6 +19,8 @@ from .relational import complete_groups, eligible_samples, keep_in, null_safe_jo
 
 READS_PER_CHUNK = 65536
 MD5_HEX = 12
+# Taxa that one sample meets at once in a heat map.
+GRID_BLOCK = 1024
 
 
 # -- depth and rarefaction ---------------------------------------------------------
@@ -279,10 +281,12 @@ def scaled_long(
 
 
 def _selected_grid(taxa: DataFrame, samples: DataFrame) -> DataFrame:
-    """Samples, each with every row of the selected-taxa table (a short list by construction)."""
-    listed = taxa.agg(F.collect_list(F.struct("taxon", "_max"))).scalar()
-    grid = samples.select("sample", "species", "time", F.explode(listed).alias("_t"))
-    return grid.select("sample", "species", "time", F.col("_t.taxon").alias("taxon"), F.col("_t._max").alias("_max"))
+    """Every sample with every selected taxon, which is the size of the result: taxa are cut into
+    blocks that each sample joins, so none of both is ever gathered."""
+    blocks = F.greatest(F.lit(1), F.ceil(taxa.agg(F.count(F.lit(1))).scalar() / GRID_BLOCK)).cast("int")
+    dealt = taxa.withColumn("_block", F.pmod(F.xxhash64("taxon"), blocks).cast("int"))
+    spread = samples.select("sample", "species", "time", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"))
+    return spread.join(dealt, "_block").select("sample", "species", "time", "taxon", "_max")
 
 
 # -- shares ------------------------------------------------------------------------

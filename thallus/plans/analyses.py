@@ -64,6 +64,40 @@ def ordination(community: Community, k: int = 3) -> DataFrame:
     return scores.groupBy("sample").agg(*columns).join(eligible, "sample")
 
 
+def guild_classes(community: Community, cut: float) -> DataFrame:
+    """Eligible samples with the class that their guild shares give them; a guild they lack counts as 0."""
+    shares = ecology.guild_sum(community.relative, community.taxonomy)
+    wide = relational.pivot_unique(shares, ["sample"], "guild", "abundance", ["Arbuscular Mycorrhizal", "Ectomycorrhizal"], fill=0.0)
+    state = classes.threshold_class(F.col("Arbuscular Mycorrhizal"), F.col("Ectomycorrhizal"), cut)
+    return wide.withColumn("class", state).join(relational.eligible_samples(community.samples), "sample")
+
+
+def guild_shares_long(community: Community, places: int = 9) -> DataFrame:
+    """Every guild in every eligible sample, absent ones as 0: ``(sample, pot, species, time, grp, guild, abundance)``.
+
+    Shares are rounded, so that equal sums are ties whatever order they were added in."""
+    shares = durable(ecology.guild_sum(community.relative, community.taxonomy))
+    eligible = relational.eligible_samples(community.samples)
+    observed = relational.keep_in(eligible, community.rarefied.select("sample"), "sample")
+    guilds = relational.keep_in(shares, observed.select("sample"), "sample").agg(F.collect_set("guild")).scalar()  # a handful of labels
+    grid = observed.withColumn("guild", F.explode(guilds)).join(shares, ["sample", "guild"], "left")
+    share = F.round(F.coalesce("abundance", F.lit(0.0)), places).alias("abundance")
+    return grid.select("sample", "pot", "species", "time", F.concat_ws("_", "species", "time").alias("grp"), "guild", share)
+
+
+def eligible_diversity(community: Community) -> DataFrame:
+    """Alpha diversity of the eligible samples with their metadata."""
+    return ecology.alpha_diversity(community.rarefied).join(relational.eligible_samples(community.samples), "sample")
+
+
+def found_taxa(community: Community, rank: str, stable: DataFrame, min_n: int = 5, corrected: DataFrame | None = None) -> DataFrame:
+    """Taxa to show: those that differ by presence, those that differ by corrected abundance (a tested table), and the ``stable`` ones."""
+    by_presence = ecology.presence_contrast(community.rarefied, community.samples, community.taxonomy, rank, min_n)
+    present = by_presence.where(F.col("time_filter").isNotNull() | F.col("species_filter").isNotNull())
+    more = [differential.differing_taxa(corrected)] if corrected is not None else []
+    return relational.distinct_union(present, *more, stable, key="taxon")
+
+
 def guild_colonization(community: Community, microscopy: DataFrame) -> DataFrame:
     """Sequencing and microscopy treatment means in one table.
 
