@@ -35,11 +35,10 @@ def twin(sql: str) -> Callable:
 @query
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Exact tokens of every text; SQL has no tokenizer, so tests compare with the library."""
-    docs = documents(spark, folder).select("doc_id", "text")
-    counted = token_counts.prefix_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    n = token_counts.total_tokens(F.col("prefix_tokens"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return counted.select("doc_id", size.alias("n_bytes"), n.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    docs = documents(spark, folder).select("doc_id", size.alias("n_bytes"), "text")
+    counted = token_counts.token_totals(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens").withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 @query

@@ -202,6 +202,20 @@ def prefix_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", out
     return docs.mapInArrow(count, schema)
 
 
+def token_totals(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
+    """``docs`` with ``out``, the tokens of the whole text: the last entry of its prefix table, which stays in the worker."""
+    schema = T.StructType([*[f for f in docs.schema if f.name != out], T.StructField(out, T.LongType())])
+    names = [f.name for f in schema][:-1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(tokenizer)
+        for part in text_slices(batches, text, 1 << 20):
+            tables = map(counter.counts, part.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([int(t[-1]) if len(t) else 0 for t in tables], pa.int64())], [*names, out])
+
+    return docs.mapInArrow(count, schema)
+
+
 def total_tokens(counts: Column) -> Column:
     """Tokens of the whole text."""
     return F.when(F.size(counts) > 0, F.element_at(counts, -1)).otherwise(0).cast("long")
