@@ -3,8 +3,11 @@
 A softmax classifier, fitted on a bounded sample of a labelled table, predicts each document's
 domain posteriors.  Document rates r >= 0 are then fitted so that the expected tokens of each
 domain, the sum of r * posterior * tokens, match their targets in least squares: projected
-gradient from r = 1.  A rate depends on the posteriors and the gradients so far, so a round is one
-pass that sums a few numbers per partition; only those reach the driver.
+gradient from r = 1, each gradient scaled by the inverse of the domains' Gram matrix over the rows
+that the step before did not clip (a projected Newton step, as big as the number of domains).  A rate
+depends on the posteriors and the steps so far, so a round is one pass that sums a few numbers per
+partition; only those reach the driver.  How far the expected totals end from their targets is
+part of the result: with rates bounded above, targets may be out of reach.
 
 Edge cases: null or empty texts have no tokens and get a rate like others; a null doc_id stays
 null and is never labelled; repeated rows get equal rates; labels of an unknown domain are
@@ -15,6 +18,7 @@ no rows; other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,8 @@ from .common import WordHashes, text_slices
 from .quality_classifier import BUCKETS, features
 
 SAMPLE_ROWS = 12_288
-ROUNDS, CLOSE, STEP = 60, 1e-4, 0.9
+#: relative miss that counts as met; a round that moves no total by STILL of all tokens is the last, as is round ROUNDS
+ROUNDS, CLOSE, STILL = 200, 1e-4, 1e-7
 EPOCHS, BATCH, RATE, SEED = 6, 256, 0.3, 13
 
 
@@ -82,7 +87,10 @@ def fit_posteriors(docs: DataFrame, labelled: DataFrame, domains: Sequence[str],
     """``labelled`` has key and ``domain``; at most ``sample_rows`` of its rows (by hash) are learned from."""
     number = {d: k for k, d in enumerate(domains)}
     known = labelled.where(F.col(key).isNotNull() & F.col("domain").isin(list(domains))).groupBy(key).agg(F.min("domain").alias("domain"))
-    chosen = known.orderBy(F.xxhash64(key), key).limit(sample_rows)
+    n = known.count()
+    # the share of hashes that gives about four standard deviations less than the bound: no sort, no single task
+    share = min(1.0, max(sample_rows - 4 * sample_rows**0.5, 1) / max(n, 1)) if n > sample_rows else 1.0
+    chosen = F.broadcast(known.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))))  # bounded by sample_rows
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -119,44 +127,76 @@ def with_posteriors(docs: DataFrame, model: Posteriors, text: str = "text") -> D
     return docs.mapInArrow(predict, T.StructType([*[docs.schema[c] for c in names], *added]))
 
 
-def rates_of(posteriors: np.ndarray, steps: np.ndarray, most: float | None) -> np.ndarray:
-    """Rates after the projected steps so far."""
-    rate = np.ones(len(posteriors))
+def rates_of(posteriors: np.ndarray, steps: np.ndarray, most: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the projected steps so far, and which of them the last step did not clip."""
+    rate, free = np.ones(len(posteriors)), np.ones(len(posteriors), bool)
     for g in steps:
-        rate = np.clip(rate - posteriors @ g, 0, most)
-    return rate
+        wanted = rate - posteriors @ g
+        rate = np.clip(wanted, 0, most)
+        free = rate == wanted
+    return rate, free
 
 
-def fit_rates(rows: DataFrame, targets: np.ndarray, most: float | None = None, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[np.ndarray, float]:
-    """(steps, the largest relative miss); ``rows`` has n_tokens and posteriors and is stored.
+@dataclass(frozen=True)
+class Fit:
+    """Steps of the rates, expected tokens per domain, the largest relative miss, and rounds."""
 
-    Stops when every domain's expected tokens are within ``close`` of its target or no longer
-    move, or after ``rounds`` passes.
+    steps: np.ndarray
+    expected: np.ndarray
+    miss: float
+    rounds: int
+
+    @property
+    def met(self) -> bool:
+        return self.miss <= CLOSE
+
+
+def fit_rates(rows: DataFrame, targets: np.ndarray, most: float | None = None, rounds: int = ROUNDS, close: float = CLOSE) -> Fit:
+    """``rows`` has n_tokens and posteriors and is stored.
+
+    Stops when every domain's expected tokens are within ``close`` of its target, or when the totals no
+    longer move: then the least-squares optimum is reached and ``miss`` says what it leaves.  A step
+    that made things worse is followed by shorter ones.
     """
-    k, steps, miss, last = len(targets), np.zeros((0, len(targets))), np.inf, None
+    k, steps, miss = len(targets), np.zeros((0, len(targets))), np.inf
+    expected, last, damp, still = np.zeros(k), None, 1.0, 0
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(2 * k)
+        sums = np.zeros(k + 2 * k * k)
         for part in batches:
             if part.num_rows:
                 p = pa.compute.list_flatten(part.column("posteriors")).to_numpy().reshape(-1, k)
                 tokens = part.column("n_tokens").to_numpy().astype(float)
-                sums[:k] += (p * (tokens * rates_of(p, steps, most))[:, None]).sum(axis=0)
-                sums[k:] += (p * p * tokens[:, None]).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * k)), pa.array(sums)], ["at", "total"])
-
-    for _ in range(rounds):
+                rate, free = rates_of(p, steps, most)
+                sums[:k] += (p * (tokens * rate)[:, None]).sum(axis=0)
+                sums[k : k + k * k] += (p.T @ (p * (tokens * free)[:, None])).ravel()
+                sums[k + k * k :] += (p.T @ (p * tokens[:, None])).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["at", "total"])
+
+    done = 0
+    while done < rounds:
+        done += 1
         got = rows.select("n_tokens", "posteriors").mapInArrow(totals, "at long, total double").groupBy("at").agg(F.sum("total").alias("total"))
-        sums = np.zeros(2 * k)
-        for r in got.collect():  # two numbers per domain
+        sums = np.zeros(k + 2 * k * k)
+        for r in got.collect():  # a few numbers per pair of domains
             sums[r["at"]] = r["total"]
-        expected, weight = sums[:k], np.maximum(sums[k:], 1e-9)
-        miss = float((np.abs(expected - targets) / np.maximum(targets, 1)).max())
-        if miss <= close or last is not None and np.abs(expected - last).max() <= close * close * max(targets.sum(), 1):
+        expected, gram, whole = sums[:k], sums[k : k + k * k].reshape(k, k), sums[k + k * k :].reshape(k, k)
+        off = expected - targets
+        miss = float((np.abs(off) / np.maximum(targets, 1)).max())
+        if miss <= close:
             break
+        if last is not None:
+            moved = np.abs(expected - last).max()
+            still = still + 1 if moved <= STILL * max(targets.sum(), 1) else 0
+            if still == 2:
+                break
+            worse = (off @ off) > ((last - targets) @ (last - targets))
+            damp = damp / 2 if worse else min(1.0, damp * 1.5)
         last = expected
-        steps = np.vstack([steps, STEP * (expected - targets) / weight])
-    return steps, miss
+        # rows at a bound may be needed again: a small part of the whole matrix keeps the step finite
+        scaled = gram + (1e-3 + 0.1 * (1 - damp)) * whole
+        steps = np.vstack([steps, damp * np.linalg.lstsq(scaled, off, rcond=1e-12)[0]])
+    return Fit(steps, expected, miss, done)
 
 
 def with_rates(rows: DataFrame, steps: np.ndarray, most: float | None = None, seed: int = SEED) -> DataFrame:
@@ -167,7 +207,7 @@ def with_rates(rows: DataFrame, steps: np.ndarray, most: float | None = None, se
         for part in batches:
             k = max(steps.shape[1], 1)
             p = pa.compute.list_flatten(part.column("posteriors")).to_numpy().reshape(-1, k)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(rates_of(p, steps, most))], [*names, "rate"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(rates_of(p, steps, most)[0])], [*names, "rate"])
 
     rated = rows.mapInArrow(rate, T.StructType([*[rows.schema[c] for c in names], T.StructField("rate", T.DoubleType())]))
     luck = (F.xxhash64("doc_id", F.lit(seed)).cast("double") + 2.0**63) / 2.0**64
@@ -181,7 +221,8 @@ def domain_totals(rows: DataFrame, k: int) -> np.ndarray:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], scratch: Scratch, full: str, scale: float, most: float | None = None) -> DataFrame:
-    """doc_id, n_tokens, posteriors, rate, copies for target ``weights``.
+    """doc_id, n_tokens (blank-separated words), posteriors, rate, copies for target ``weights``, and ``miss``:
+    the largest relative distance of a domain's expected tokens from its target, the same in every row.
 
     The total is set so that domain ``full`` gets ``scale`` times the tokens it has.
     """
@@ -191,5 +232,5 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], sc
     shares = np.array([weights[d] for d in domains]) / sum(weights.values())
     has = domain_totals(rows, len(domains))
     targets = shares * (scale * has[domains.index(full)] / shares[domains.index(full)])
-    steps, _ = fit_rates(rows, targets, most)
-    return with_rates(rows, steps, most)
+    fit = fit_rates(rows, targets, most)
+    return with_rates(rows, fit.steps, most).withColumn("miss", F.lit(fit.miss))

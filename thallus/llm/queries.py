@@ -113,7 +113,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Rates and copies for the target weights; tests compare totals with targets."""
     labelled = domains_of(documents(spark, folder, "labels"))
     rows = mixing.mixed(documents(spark, folder), labelled, DOMAINS, Scratch(spark), full="clean", scale=1.1)
-    return rows.select("doc_id", "n_tokens", "rate", "copies", *[F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
+    return rows.select("doc_id", "n_tokens", "rate", "copies", "miss", *[F.col("posteriors")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
 
 
 @query
