@@ -304,6 +304,44 @@ def test_mixing(spark, corpus, empty, labels):
     assert mixing.mixed(empty, known, domains, Scratch(spark), full="a", scale=1.0).count() == 0
 
 
+def test_mixing_meets_reachable_targets_and_says_so(spark):
+    draw = np.random.default_rng(4)
+    p = draw.dirichlet([0.3, 0.05, 0.02], 3000)
+    tokens = draw.integers(1, 3000, 3000)
+    rows = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p, strict=True)], "n_tokens long, posteriors array<double>")
+    has = tokens @ p
+    goal = np.array([0.93, 0.04, 0.03])
+    targets = goal * (1.1 * has[0] / 0.93)
+    fit = mixing.fit_rates(rows, targets)
+    rate, _ = mixing.rates_of(p, fit.steps, None)
+    assert fit.met and fit.rounds < 40 and np.abs((tokens * rate) @ p / targets - 1).max() <= 1e-3 and (rate >= 0).all()
+    # bounded rates that cannot reach the targets end at the least squares, and the miss is told
+    capped = mixing.fit_rates(rows, has * np.array([1.5, 1.0, 0.5]), most=1.0)
+    rate, _ = mixing.rates_of(p, capped.steps, 1.0)
+    off = (tokens * rate) @ p - has * np.array([1.5, 1.0, 0.5])
+    direct, best = np.ones(3000), np.inf
+    for _ in range(4000):  # plain projected gradient
+        e = (tokens * direct) @ p - has * np.array([1.5, 1.0, 0.5])
+        best = min(best, float(e @ e))
+        direct = np.clip(direct - (p @ e) / (tokens @ (p * p).sum(axis=1)), 0, 1)
+    assert not capped.met and capped.miss > 0.1 and off @ off <= best * 1.02
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b = (" ".join(words_of(40, n)) for n in ("one", "two"))
+    rows = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (9, "alone in the world of words")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(rows, Scratch(spark)).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (9, 9, True)]
+
+
+def test_token_totals_equal_the_last_prefix(spark, corpus):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = corpus.select("doc_id", "text")
+    totals = token_counts.token_totals(rows, path).select("text", "n_tokens")
+    tables = token_counts.prefix_token_counts(rows, path).select("text", token_counts.total_tokens(F.col("prefix_tokens")).alias("n_tokens"))
+    assert sorted(map(str, totals.collect())) == sorted(map(str, tables.collect()))
+
+
 def test_sharding(spark, corpus, empty):
     rows = corpus.select("doc_id", sharding.text_size(F.col("text")).alias("size"))
     got = sharding.shuffled(rows, Scratch(spark), 7).collect()
