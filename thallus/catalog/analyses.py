@@ -142,7 +142,9 @@ _STAGE = """rolled AS (SELECT sample, coalesce(t.species, 'Unassigned') AS taxon
     base AS (SELECT r.taxon, r.sample, ln(n) AS y, CASE WHEN e.species = 'T' THEN 1.0e0 ELSE 0e0 END AS a, CASE WHEN e.time = 'Jan21' THEN 1.0e0 ELSE 0e0 END AS b FROM rolled r JOIN eligible e USING (sample)),
     kept AS (SELECT * FROM base SEMI JOIN (SELECT taxon FROM base GROUP BY 1 HAVING count(*) >= 0.02 * (SELECT count(DISTINCT sample) FROM rare SEMI JOIN eligible USING (sample))) USING (taxon)),
     m AS (SELECT taxon, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, regr_sxx(a, a) AS caa, regr_sxx(b, b) AS cbb, regr_sxy(a, b) AS cab, regr_sxy(y, a) AS cay, regr_sxy(y, b) AS cby, regr_sxx(y, y) AS cyy FROM kept GROUP BY 1),
-    f AS (SELECT *, (cay * cbb - cby * cab) / (caa * cbb - cab * cab) AS ba, (cby * caa - cay * cab) / (caa * cbb - cab * cab) AS bb, caa * cbb - cab * cab AS det FROM m)"""
+    d AS (SELECT *, CASE WHEN caa * cbb - cab * cab > 1e-9 THEN 'ab' WHEN caa > 1e-9 THEN 'a' WHEN cbb > 1e-9 THEN 'b' END AS fit, caa * cbb - cab * cab AS det FROM m),
+    f AS (SELECT *, CASE fit WHEN 'ab' THEN (cay * cbb - cby * cab) / det WHEN 'a' THEN cay / caa ELSE 0 END AS ba,
+      CASE fit WHEN 'ab' THEN (cby * caa - cay * cab) / det WHEN 'b' THEN cby / cbb ELSE 0 END AS bb, n - 1 - coalesce(length(fit), 0) AS rest FROM d)"""
 
 
 def _table(t):
@@ -155,8 +157,10 @@ def _(t):
     return differential.sampling_bias(_table(t), ["species", "time"], {"species": SPECIES, "time": TIMES}, rounds=1)
 
 
-@query("effect_floor", f"""WITH {{fixtures}}, {_STAGE}, g AS (SELECT *, (cyy - ba * cay - bb * cby) / (n - 3) AS v FROM f WHERE n > 3)
-    SELECT 'species[T]' AS coefficient, quantile_cont(sqrt(v * cbb / det), 0.01) AS s0 FROM g UNION ALL SELECT 'time[Jan21]', quantile_cont(sqrt(v * caa / det), 0.01) FROM g""", doubles="s0")
+@query("effect_floor", f"""WITH {{fixtures}}, {_STAGE}, g AS (SELECT *, (cyy - ba * cay - bb * cby) / rest AS v FROM f WHERE rest > 0 AND cyy - ba * cay - bb * cby > 0),
+    s AS (SELECT 'species[T]' AS coefficient, sqrt(v * CASE fit WHEN 'ab' THEN cbb / det ELSE 1 / caa END) AS se FROM g WHERE fit IN ('ab', 'a')
+      UNION ALL SELECT 'time[Jan21]', sqrt(v * CASE fit WHEN 'ab' THEN caa / det ELSE 1 / cbb END) FROM g WHERE fit IN ('ab', 'b'))
+    SELECT coefficient, quantile_cont(se, 0.01) AS s0 FROM s GROUP BY 1""", doubles="s0")
 def _(t):
     """The floor under standard errors: their exact first percentile."""
     fits = differential.taxon_ols(_table(t), ["species", "time"], {"species": SPECIES, "time": TIMES}).where("df > 0")

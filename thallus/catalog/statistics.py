@@ -175,7 +175,7 @@ def _quantile_sql(p):
 
 @query("normality_by_group", f"""WITH {{fixtures}}, {_ROOTS}, e AS (SELECT species, time, y - avg(y) OVER (PARTITION BY species, time) AS x FROM r),
     k AS (SELECT *, (row_number() OVER (PARTITION BY species, time ORDER BY x) - 0.375e0) / (count(*) OVER (PARTITION BY species, time) + 0.25e0) AS p,
-      row_number() OVER (PARTITION BY species, time ORDER BY x) AS up, row_number() OVER (PARTITION BY species, time ORDER BY x DESC) AS down FROM e),
+      row_number() OVER (PARTITION BY species, time ORDER BY x) AS up, count(*) OVER (PARTITION BY species, time) + 1 - row_number() OVER (PARTITION BY species, time ORDER BY x) AS down FROM e),
     m AS (SELECT *, {_quantile_sql("p")} AS m FROM k),
     s AS (SELECT species, time, count(*) AS n, 1 / sqrt(CAST(count(*) AS DOUBLE)) AS u, sum(m * m) AS mm, sum(m * x) AS mx, var_pop(x) * count(*) AS ss,
       max(m) AS m1, max(CASE WHEN down = 2 THEN m END) AS m2, max(CASE WHEN down = 1 THEN x END) - max(CASE WHEN up = 1 THEN x END) AS g1, max(CASE WHEN down = 2 THEN x END) - max(CASE WHEN up = 2 THEN x END) AS g2 FROM m GROUP BY 1, 2),
