@@ -211,5 +211,5 @@ def test_dense_index_and_levels(spark):
 def test_clusters_split_separate_profiles(spark):
     rows = [(f"t{i}", f"s{j}", float((i < 3) == (j < 4)) + 0.01 * i) for i in range(6) for j in range(8)]
     df = spark.createDataFrame(rows, "taxon string, sample string, scaled double")
-    got = dict(values(distances.feature_clusters(df, 2)))
+    got = dict(values(distances.feature_clusters(df, 2), "taxon", "cluster"))
     assert len({got[f"t{i}"] for i in range(3)}) == 1 and len(set(got.values())) == 2
