@@ -6,7 +6,8 @@ hashed keys: equal variants with the same gap are one changed word, a line equal
 variant is one word more or less.  A key hands back the earliest line of the right kind, so a
 bucket is minimised, never paired; the edit distance to that line is then verified.  Only lines
 that share an exact half with a different line can be near (one edit leaves a half untouched), so
-only those emit variants.
+only those emit variants, and only variants without a word outside of a half that they share.
+Keys are counted first; rows that say whose they are exist for keys of several lines only.
 
 A line of at least ``min_words`` words is dropped where an equal line stands earlier (by doc_id,
 then line number), or where its first occurrence has an earlier near line (whether or not that
@@ -31,6 +32,8 @@ from ..runtime import Scratch
 from .common import WordHashes, mix, text_slices
 
 MIN_WORDS, NEAR_WORDS = 4, 8
+#: a side of at most so many (narrow) rows is broadcast; beyond, both sides are shuffled
+BROADCAST_ROWS = 250_000
 _B = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_B, -1, 1 << 64))
 _ROW, _GAP, _LENGTH = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -50,30 +53,42 @@ def _named(total: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
 
 
 def line_keys(hashes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the lines at words start..stop-1, and four keys of the halves each may share with a near line.
+    """Keys of the lines at words start..stop-1, and three keys of the halves each may share with a near line.
 
     With a line of as many words, or one more or less, an edit leaves the first or the last half of
-    the shorter line as it is; which of the two is longer is not known, so both lengths are given.
+    the shorter line as it is.  A line of n words gives its first and its last n // 2 words, and what
+    else such a half can be: the first n // 2 - 1 if n is even, the last n // 2 + 1 if it is odd.
     """
     total = sums(hashes)
     back = np.concatenate(([np.uint64(1)], np.cumprod(np.full(len(hashes), _BACK))))
     of = lambda a, b: (total[b] - total[a]) * back[a]
     n = stop - start
     whole = _named_all(of(start, stop), n, 0)
-    halves = [_named_all(of(start, start + h), h, 1) for h in (n // 2, (n - 1) // 2)]
-    halves += [_named_all(of(stop - h, stop), h, 2) for h in ((n + 1) // 2, n // 2)]
-    return whole, np.column_stack(halves)
+    h, even = n // 2, n % 2 == 0
+    first, last = (_named_all(of(start, start + h), h, 1), _named_all(of(stop - h, stop), h, 2))
+    shorter = _named_all(of(start, start + np.maximum(h - 1, 0)), np.maximum(h - 1, 0), 1)
+    longer = _named_all(of(stop - (n - h), stop), n - h, 2)
+    return whole, np.column_stack([first, last, np.where(even, shorter, longer)])
+
+
+def outside(n: int, shared: int) -> np.ndarray:
+    """Places of a line of ``n`` words where an edit may be, by the halves it shares (a bit for each of ``line_keys``)."""
+    h, even = n // 2, n % 2 == 0
+    first = h - 1 if even and shared & 4 else h if shared & 1 else n
+    last = h if shared & 2 else n - h if not even and shared & 4 else n
+    place = np.arange(n)
+    return place[(place >= first) | (place < n - last)]
 
 
 def _named_all(total: np.ndarray, length: np.ndarray, salt: int) -> np.ndarray:
     return mix(total * _ROW + length.astype(np.uint64) * _LENGTH + np.uint64(salt * int(_GAP) % (1 << 64)))
 
 
-def variants(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
-    """Keys without word i: with the gap's place, without it; and the key of the whole line."""
+def variants(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """Keys without the word at each place of ``at``: with the gap's place, without it; and the key of the whole line."""
     n, total = len(hashes), sums(hashes)
-    without = total[:-1] + (total[-1:] - total[1:]) * _BACK
-    gap = np.arange(1, n + 1, dtype=np.uint64)
+    without = total[at] + (total[-1:] - total[at + 1]) * _BACK
+    gap = at.astype(np.uint64) + np.uint64(1)
     return mix(_named(without, n, 3) + gap * _GAP), _named(without, n - 1, 4), _named(total[-1:], n, 4)[0]
 
 
@@ -110,7 +125,7 @@ def _lines(docs: DataFrame, key: str, text: str, min_words: int, near_words: int
             n = np.array(length)
             stop = np.cumsum(n)
             line, halves = line_keys(known.of(words), stop - n, stop)
-            ends = np.concatenate(([0], np.cumsum(np.where(n >= near_words, 4, 0)))).astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(np.where(n >= near_words, 3, 0)))).astype(np.int32)
             shared = pa.ListArray.from_arrays(pa.array(ends), _signed(halves[n >= near_words].ravel()))
             yield pa.RecordBatch.from_arrays(
                 [_signed(line), part.column(key).take(pa.array(owner, pa.int32())), pa.array(number, pa.int32()), shared], ["line", "doc", "no", "halves"]
@@ -139,20 +154,37 @@ def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(text, "wanted").mapInArrow(find, "line long, words array<long>")
 
 
+def _emitted(some: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, role and row of every variant (0 changed, 2 shorter) and whole line (1) of a batch."""
+    keys, role, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for row, (words, shared) in enumerate(zip(some.column("words").to_pylist(), some.column("shared").to_pylist(), strict=True)):
+        changed, shorter, whole = variants(np.array(words, np.int64).view(np.uint64), outside(len(words), shared))
+        shorter = np.unique(shorter)
+        keys += [changed, shorter, np.array([whole])]
+        role.append(np.repeat(np.array([0, 2, 1], np.int32), [len(changed), len(shorter), 1]))
+        owner.append(np.full(len(changed) + len(shorter) + 1, row))
+    return np.concatenate(keys), np.concatenate(role), np.concatenate(owner)
+
+
+def _variant_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in batches:
+        for at in range(0, part.num_rows, 512):
+            yield pa.RecordBatch.from_arrays([_signed(_emitted(part.slice(at, 512))[0])], ["key"])
+
+
 def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
         for at in range(0, part.num_rows, 512):
             some = part.slice(at, 512)
-            keys, role, owner = [], [], []
-            for row, words in enumerate(some.column("words").to_pylist()):
-                changed, shorter, whole = variants(np.array(words, np.int64).view(np.uint64))
-                shorter = np.unique(shorter)
-                keys += [changed, shorter, np.array([whole])]
-                role.append(np.repeat(np.array([0, 2, 1], np.int32), [len(changed), len(shorter), 1]))
-                owner.append(np.full(len(changed) + len(shorter) + 1, row))
-            if keys:
-                took = some.select(["line", "first"]).take(pa.array(np.concatenate(owner)))
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(role)), *took.columns], ["key", "role", "line", "first"])
+            keys, role, owner = _emitted(some)
+            took = some.select(["line", "first"]).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(role), *took.columns], ["key", "role", "line", "first"])
+
+
+def _sized(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """``df`` stored, and marked for a broadcast if it was counted to be small."""
+    held = scratch.keep(df)
+    return F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
 
 
 def dropped_lines(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
@@ -161,15 +193,20 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     lines = scratch.keep(_lines(docs, key, text, min_words, near_words))
     seen = lines.groupBy("line").agg(F.min(F.struct("doc", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
     seen = scratch.keep(seen)
-    halves = lines.where(F.size("halves") > 0).select("line", F.explode("halves").alias("half")).distinct().repartition("half")
-    shared = halves.groupBy("half").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("half")
-    scratch.tidy()
-    near = scratch.keep(halves.join(shared, "half", "left_semi").select("line").distinct().join(seen, "line"))
+    halves = lines.where(F.size("halves") > 0).select("line", F.posexplode("halves").alias("place", "half"))
+    common = halves.groupBy("half").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("half")
+    sharing = halves.join(_sized(common, scratch), "half").groupBy("line").agg(F.expr("bit_or(shiftleft(1, place))").alias("shared"))
+    near = scratch.keep(_sized(sharing, scratch).join(seen.select("line", "first"), "line"))
     wanted = near.select(F.col("first.doc").alias(key), F.col("first.no").alias("no")).groupBy(key).agg(F.collect_set("no").alias("wanted"))
-    words = scratch.keep(_words(docs.select(key, text).join(wanted, key), key, text).dropDuplicates(["line"]).join(near.select("line", "first"), "line"))
-    rows = words.select("line", "first", "words").mapInArrow(_variant_rows, f"key long, role int, line long, first struct<doc: {kind}, no: int>").repartition("key")
+    found = _words(docs.select(key, text).join(_sized(wanted, scratch), key), key, text).dropDuplicates(["line"])
+    words = scratch.keep(found.join(near, "line"))
+    scratch.tidy()
+    # a line emits no key twice: a key counted twice is one of two lines
+    met_twice = words.select("words", "shared").mapInArrow(_variant_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    rows = words.select("line", "first", "words", "shared").mapInArrow(_variant_rows, f"key long, role int, line long, first struct<doc: {kind}, no: int>")
+    rows = scratch.keep(rows.join(_sized(met_twice, scratch), "key", "left_semi"))
     best = [F.min(F.when(F.col("role") == r, F.struct("first", "line"))).alias(f"m{r}") for r in (0, 1, 2)]
-    told = rows.groupBy("key").agg(*best, F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    told = rows.groupBy("key").agg(*best)
     met = rows.join(told, "key").select("line", "first", F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1")).alias("m"))
     earlier = met.where(F.col("m.first") < F.col("first")).groupBy("line").agg(F.min("m").alias("m")).select("line", F.col("m.line").alias("other"))
     of = words.select(F.col("line").alias("other"), F.col("words").alias("other_words"))
