@@ -16,7 +16,9 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,9 @@ class PrefixCounter:
                     node = self.step[key] = len(self.token_at)
                     self.token_at.append(-1)
             self.token_at[node] = i
+        ids = {b: i for i, b in self.bytes_of.items()}
+        #: token -> the token one byte longer; before the first byte stands -1
+        self.longer = {ids[b[:-1]] << 8 | b[-1]: i for b, i in ids.items() if b[:-1] in ids} | {-1 << 8 | b: i for b, i in self.single.items()}
         self.fits: dict[int, bool] = {}
         # fixed value: the split pattern of this kind of vocabulary
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -90,51 +95,81 @@ class PrefixCounter:
             ok = self.fits[key] = self._merged(both) == [left, right]
         return ok
 
-    def _piece(self, piece: str) -> list[int]:
-        """Counts after each code point of one piece."""
-        found = self.known.get(piece)
-        if found is not None:
-            return found
-        data = piece.encode()
-        last, count = [-1], [0]
-        step, token_at, follows = self.step.get, self.token_at, self._follows
-        for end in range(1, len(data) + 1):
-            node, start = 0, end
-            while True:
-                start -= 1
-                node = step(node << 8 | data[start])
-                token = token_at[node]
-                if token >= 0 and (not start or follows(last[start], token)):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
-        counts = [c for c, after in zip(count[1:], [*data[1:], 0], strict=True) if after & 0xC0 != 0x80]
-        if piece in ("'re", "'ve", "'ll"):  # cut after the first letter, it is two pieces
-            counts[1] = 2
-        if len(self.known) >= UNITS_HELD:
-            self.known.clear()
-        self.known[piece] = counts
-        return counts
+    def _walk(self, data: bytes) -> list[int]:
+        """Counts after 0, 1, … bytes of one piece.
+
+        Exactly one token ends each prefix, so the order of trials is free: first the token
+        before, grown by a byte, then the tokens that end here, from the shortest on.
+        """
+        last, began, count = [-1], [0], [0]
+        step, token_at, fits, longer = self.step, self.token_at, self.fits, self.longer
+        token = -1
+        for end, byte in enumerate(data):
+            token, start = longer.get(token << 8 | byte, -1), began[end]
+            if token < 0 or (start and not (fits.get(last[start] << 20 | token) or self._follows(last[start], token))):
+                node, start = 0, end + 1
+                while True:
+                    start -= 1
+                    node = step[node << 8 | data[start]]
+                    token = token_at[node]
+                    if token >= 0:
+                        if not start:
+                            break
+                        ok = fits.get(last[start] << 20 | token)
+                        if ok or (ok is None and self._follows(last[start], token)):
+                            break
+            last.append(token)
+            began.append(start)
+            count.append(count[start] + 1)
+        return count
+
+    def _steps(self, piece: str) -> bytes:
+        """What each code point of one piece adds to the count (int16)."""
+        made = self.known.get(piece)
+        if made is None:
+            data = piece.encode()
+            count = self._walk(data)
+            if len(data) > len(piece):  # only the ends of code points count
+                count = [0, *(c for c, after in zip(count[1:], [*data[1:], 0], strict=True) if after & 0xC0 != 0x80)]
+            if piece in ("'re", "'ve", "'ll"):  # cut after the first letter, it is two pieces
+                count[2] = 2
+            if len(self.known) >= UNITS_HELD:
+                self.known.clear()
+            made = self.known[piece] = array("h", map(sub, count[1:], count)).tobytes()
+        return made
 
     def _unit(self, unit: str) -> bytes:
-        """Differences of the counts within white space and what follows up to the next white space."""
-        blank = LEADING.match(unit).end()
-        counts = list(self._piece(unit[:blank])) if blank else []
+        """What each code point of white space and what follows it up to the next white space adds (int16)."""
+        if unit[0] == " " and unit.isascii() and unit[1:].isalpha():  # one piece, a letter a byte
+            count = self._walk(unit.encode())
+            return array("h", map(sub, count[1:], count)).tobytes()
+        blank, pieces = LEADING.match(unit).end(), self.pieces(unit)
+        if blank < 2:  # cut after a single blank, it is one token, as it is before more
+            return b"".join(map(self._steps, pieces))
+        counts = list(accumulate(array("h", self._steps(unit[:blank]))))
         base = at = 0
-        for piece in self.pieces(unit):
-            own, end = self._piece(piece), at + len(piece)
+        for piece in pieces:
+            own, end = list(accumulate(array("h", self._steps(piece)))), at + len(piece)
             if end > blank:
                 counts += [base + c for c in own[max(blank - at, 0) :]]
             base, at = base + own[-1], end
-        made = array("h", [after - before for before, after in zip([0, *counts], counts, strict=False)]).tobytes()
+        return array("h", map(sub, counts, [0, *counts])).tobytes()
+
+    def _new(self, unit: str) -> bytes:
         if len(self.held) >= UNITS_HELD:
             self.held.clear()
-        self.held[unit] = made
+        made = self.held[unit] = self._unit(unit)
+        return made
+
+    def _after_blank(self, word: str) -> bytes:
+        if len(self.after) >= UNITS_HELD:
+            self.after.clear()
+        made = self.after[word] = self._unit(word if word[:1] == "\n" else " " + word)
         return made
 
     def _plain(self, text: str) -> np.ndarray:
         """Counts of a text without special strings."""
-        get, new = self.held.get, self._unit
+        get, new = self.held.get, self._new
         if ODD.search(text) or any(twice in text for twice in ("  ", " \n", "\n ", "\n\n")):
             parts = [get(u) or new(u) for u in UNIT.findall(text)]
         else:  # words one blank or one line end apart: the blank belongs to the word after it
@@ -145,13 +180,6 @@ class PrefixCounter:
                 parts.insert(0, get(first) or new(first))
         return np.cumsum(np.frombuffer(b"".join(parts), np.int16), dtype=np.int32)
 
-    def _after_blank(self, word: str) -> bytes:
-        made = self._unit(word if word[:1] == "\n" else " " + word)
-        if len(self.after) >= UNITS_HELD:
-            self.after.clear()
-        self.after[word] = made
-        return made
-
     def counts(self, text: str | None) -> np.ndarray:
         """int32 counts at the prefixes of 1, 2, … code points of ``text``."""
         if not text:
