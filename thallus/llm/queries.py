@@ -84,6 +84,7 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
+@twin(twins.EMBEDDING_DEDUP)
 def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of 0.93 or more inside a label; tests compare with the full matrix."""
     return embedding_dedup.near_vectors(documents(spark, folder, "embeddings"), Scratch(spark))

@@ -43,3 +43,13 @@ HARD_NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (lab
     SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
     n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
     FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score QUALIFY rank <= 5"""
+
+EMBEDDING_DEDUP = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings
+      WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    n AS (SELECT vec_id, label, q, sqrt(list_dot_product(q, q)) AS size FROM v),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q) AND list_dot_product(a.q, b.q) / (a.size * b.size) >= 0.93),
+    r AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+    c AS (SELECT node, min(seen) AS root FROM r GROUP BY 1),
+    k AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
+    FROM embeddings LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.node = vec_id"""
