@@ -78,6 +78,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
+@twin(twins.MINHASH_DEDUP)
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links at a similarity of 0.85; tests compare with brute force."""
     return minhash.near_duplicates(documents(spark, folder), Scratch(spark), threshold=(85, 100))
