@@ -100,3 +100,60 @@ def test_quantiles_interpolate(spark):
     for g in "ab":
         values = [v for k, v in rows if k == g]
         assert [got[g][c] for c in wanted] == pytest.approx([np.quantile(values, p) for p in wanted.values()])
+
+
+def test_pairs_are_not_rows_before_their_totals_are_known(table, monkeypatch):
+    cells, df = table
+    monkeypatch.setattr(distances, "pair_on", None)  # one row per pair and feature
+    for hot in (2, 5, 2048):
+        got = {(r.s1, r.s2): r.d for r in distances.bray_curtis(df, hot=hot).collect()}
+        assert got == pytest.approx(all_distances(cells))
+
+
+def test_pair_sums_of_repeated_cells_nulls_and_long_lists(spark):
+    draw = random.Random(5)
+    cells = [(draw.choice(["a", "b", "c", "d", None]), draw.choice(["x", "y", None]), float(draw.choice([1, 2, 3]))) for _ in range(60)]
+    want = {}
+    for a, x, v in cells:
+        for b, y, w in cells:
+            if a and b and a < b and x and x == y:
+                least, product = want.get((a, b), (0, 0))
+                want[a, b] = least + min(v, w), product + v * w
+    df = spark.createDataFrame(cells, "id string, dim string, v double")
+    sizes = spark.createDataFrame([(c, float(i)) for i, c in enumerate("abcd")], "id string, size double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # an id's rows come in several batches
+    try:
+        for at, combine in enumerate(["least", "product"]):
+            rows = distances.pair_sums(df, combine, sizes=sizes).collect()
+            assert {(r.s1, r.s2): r.total for r in rows} == {k: pytest.approx(v[at]) for k, v in want.items()}
+            assert all("abcd"[int(r.x)] == r.s1 and "abcd"[int(r.y)] == r.s2 for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_long_prefixes_are_not_joined_cell_by_cell(spark, monkeypatch):
+    draw = random.Random(7)
+    counts = {(f"s{s:02d}", f"f{f}"): draw.choice([1, 2, 3]) for s in range(24) for f in draw.sample(range(60), 20)}
+    cells = [(s, f, n) for (s, f), n in counts.items()]
+    df = spark.createDataFrame(cells, "sample string, feature string, n long")
+    want = all_distances(cells)
+    monkeypatch.setattr(distances, "_near", None)  # a row per candidate pair and cell
+    got = {(r.s1, r.s2): r.d for r in distances.bray_curtis(df, max_d=0.85).collect()}
+    assert got and got == pytest.approx({k: d for k, d in want.items() if d <= 0.85})
+    near = {}
+    for (a, b), d in want.items():
+        near.setdefault(a, []).append((d, b))
+        near.setdefault(b, []).append((d, a))
+    rows = {}
+    for r in distances.nearest_samples(df, 3).collect():
+        rows.setdefault(r.sample, []).append((r.rank, r.other))
+    assert {s: [o for _, o in sorted(v)] for s, v in rows.items()} == {s: [o for _, o in sorted(v)[:3]] for s, v in near.items()}
+
+
+def test_short_prefixes_are_joined(spark):
+    cells = [(f"s{s:02d}", f"f{f}", n) for s in range(20) for f, n in [(s // 2, 30), ("all", 3), ("most" if s else "rare", 1)]]
+    df = spark.createDataFrame([(s, str(f), n) for s, f, n in cells], "sample string, feature string, n long")
+    ranked = distances._ranked_cells(df, "n")
+    assert distances._prefix_pays(ranked, 0.2) and not distances._prefix_pays(ranked, 0.99)
+    got = {(r.s1, r.s2): r.d for r in distances.bray_curtis(df, max_d=0.2).collect()}
+    assert got == pytest.approx({k: d for k, d in all_distances(cells).items() if d <= 0.2}) and len(got) == 10
