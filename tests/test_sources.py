@@ -1,3 +1,4 @@
+import pytest
 from conftest import values
 
 from pyspark.sql import functions as F
@@ -105,3 +106,32 @@ def test_consensus_needs_a_majority(spark):
     got = {r.query: (r.lineage, r.depth) for r in taxonomy.consensus_taxonomy(hits, raw).collect()}
     assert got == {"q": ("k__F; p__A", 2), "r": ("Unassigned", 0)}
     assert taxonomy.consensus_taxonomy(hits, raw, max_hits=3).where("query = 'q'").first().lineage == "k__F; p__A; g__X"
+
+
+def test_feature_table_is_stored_compressed_and_sorted_before_it_is_wide(spark, tmp_path):
+    counts = spark.range(400).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("sample"), F.concat(F.lit("f"), (F.col("id") * 7 % 300).cast("string")).alias("feature"), (F.col("id") + 1).alias("n"))
+    path = tmp_path / "wide"
+    sources.write_feature_table(counts, str(path))
+    assert sum(f.stat().st_size for f in path.iterdir() if f.name.startswith("part-")) < 400 * 300 * 2 / 10
+    assert values(sources.read_feature_table(spark, str(path))) == values(counts)
+
+
+def test_feature_table_cells_as_written(spark, tmp_path):
+    path = write(tmp_path / "t.tsv", "#OTU ID\ta\tb\tc\nfä\t0\t00\t7\nonly\n\n# note\nf2\t0.0\t1e2\t0\n")
+    assert values(sources.read_feature_table(spark, path), "sample", "feature", "n") == [("b", "f2", 100), ("c", "fä", 7)]
+    from pyspark.errors import PySparkException
+
+    for bad in ("f\t\t1\t0\n", "f\t0\t0\t\n", "f\t0\tx\t0\n"):
+        broken = write(tmp_path / "broken.tsv", "#OTU ID\ta\tb\tc\n" + bad)
+        with pytest.raises(PySparkException):
+            sources.read_feature_table(spark, broken).collect()
+
+
+def test_consensus_makes_no_row_per_prefix(spark):
+    hits = spark.createDataFrame([("q", "a", 3.0, 1), ("q", "b", 2.0, 2), ("q", "n", 1.0, 3), ("r", "n", 1.0, 1), (None, "a", 1.0, 1), ("t", "a", 1.0, 1), ("t", "c", 1.0, 2)],
+                                 "query string, subject string, score double, tie int")
+    raw = spark.createDataFrame([("a", "k__F; p__A;g__X"), ("b", "k__F;p__A ; g__Y"), ("c", "k__P"), ("n", None)], "feature string, lineage string")
+    df = taxonomy.consensus_taxonomy(hits, raw)
+    got = {r.query: (r.lineage, r.depth, r.share and round(r.share, 6)) for r in df.collect()}
+    assert got == {"q": ("k__F; p__A", 2, 0.666667), None: ("k__F; p__A; g__X", 3, 1.0), "t": ("Unassigned", 0, None)}
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
