@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,16 +75,31 @@ def consensus_taxonomy(
     top = hits.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= max_hits)
     pieces = F.transform(F.split("lineage", sep), lambda piece: F.trim(piece))
     lineages = top.join(tax_raw.select(F.col("feature").alias("subject"), pieces.alias("_pieces")), "subject")
-    # at most max_hits rows per query are left, so counting them by window is bounded too
-    counted = lineages.withColumn("hits", F.count(F.lit(1)).over(Window.partitionBy("query")))
-    # depth 0 is shared by every hit: a query without agreement falls back on it
-    prefix = F.transform(F.sequence(F.lit(0), F.size("_pieces")), lambda d: F.struct(
-        d.alias("depth"), F.when(d == 0, UNASSIGNED).otherwise(F.array_join(F.slice("_pieces", 1, d), "; ")).alias("prefix")))
-    prefixes = counted.select("query", "hits", F.explode(prefix).alias("p"))
-    shared = prefixes.groupBy("query", "hits", "p.depth", "p.prefix").agg(F.count(F.lit(1)).alias("votes"))
-    agreed = shared.where(F.col("votes") >= F.lit(min_share) * F.col("hits"))
-    found = agreed.groupBy("query").agg(F.max(F.struct("depth", "prefix", "votes", "hits")).alias("best"))
-    return found.select(
-        "query", F.col("best.prefix").alias("lineage"), F.col("best.depth").alias("depth"),
-        F.when(F.col("best.depth") > 0, F.try_divide("best.votes", "best.hits")).alias("share"),
-    )
+    # at most max_hits hits per query are left: their prefixes are counted inside one row
+    queries = lineages.groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.collect_list("_pieces").alias("lineages"))
+    kind = dict(hits.dtypes)["query"]
+    return queries.mapInArrow(_deepest_shared(min_share), f"query {kind}, lineage string, depth int, share double")
+
+
+def _deepest_shared(min_share: float):
+    """Per row of (query, hits, lineages): the deepest prefix with enough votes, the last by name among equals."""
+
+    def best(hits: int, lineages: list[list[str]]) -> tuple | None:
+        # depth 0 is shared by every hit: a query without agreement falls back on it
+        votes = {(0, UNASSIGNED): len(lineages)} if lineages else {}
+        for pieces in lineages:
+            prefix = None
+            for depth, piece in enumerate(pieces, 1):
+                prefix = piece if prefix is None else f"{prefix}; {piece}"
+                votes[depth, prefix] = votes.get((depth, prefix), 0) + 1
+        depth, prefix = max((p for p, n in votes.items() if n >= min_share * hits), default=(None, None))
+        return None if depth is None else (prefix, depth, votes[depth, prefix] / hits if depth else None)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [best(*row) for row in zip(batch.column("hits").to_pylist(), batch.column("lineages").to_pylist(), strict=True)]
+            lineage, depth, share = (pa.array([row and row[c] for row in told], kind) for c, kind in enumerate((pa.string(), pa.int32(), pa.float64())))
+            made = pa.RecordBatch.from_arrays([batch.column("query"), lineage, depth, share], ["query", "lineage", "depth", "share"])
+            yield made.filter(depth.is_valid())
+
+    return vote
