@@ -49,6 +49,18 @@ def test_rarefy_is_independent_of_partitions_and_chunks(spark, monkeypatch, coun
     assert values(ecology.rarefy(counts.repartition(13), 60, 3), "sample", "feature", "n") == one
 
 
+def test_rarefy_of_shallow_and_deep_samples_equals_brute_force(monkeypatch, counts, community):
+    depths = sorted(r.depth for r in ecology.seq_depth(counts).collect())
+    monkeypatch.setattr(ecology, "READS_PER_CHUNK", depths[len(depths) // 2])
+    got = {(r.sample, r.feature): r.n for r in ecology.rarefy(counts, 60, 67).collect()}
+    assert got == brute_rarefy(community, 60, 67)
+
+
+def test_rarefy_moves_cells_not_reads(counts):
+    plan = ecology.rarefy(counts, 60, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.index("Window") : plan.rindex("Generate")]
+
+
 def test_rarefied_totals_and_bounds(counts):
     rare = ecology.rarefy(counts, 80)
     assert {r.depth for r in ecology.seq_depth(rare).collect()} == {80}
