@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from thallus import sources
 from thallus.functions import text
 from thallus.operators import relational, taxonomy
+from thallus.plans import analyses
 
 
 def write(path, content, encoding="utf-8"):
@@ -76,6 +77,24 @@ def test_lineages_by_position(spark):
     assert got["f5"].species == "Tuber_sp_one"
 
 
+def test_lineages_are_split_once_on_many_tasks(spark):
+    df = spark.createDataFrame([("f", "k__Fungi;p__B")], "feature string, lineage string")
+    plan = taxonomy.parse_lineage(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "RepartitionByExpression" in plan
+
+
+def test_stored_community_does_not_split_lineages_again(spark):
+    frames = {
+        "counts": (("s", "f", 9), "sample string, feature string, n long"), "samples": (("s", "A"), "sample string, species string"),
+        "tax_raw": (("f", "k__Fungi;p__B"), "feature string, lineage string"), "edits": (("x", "k__Metazoa"), "feature string, edited string"),
+        "guild_db": (("B", "Phylum", "|Endophyte|"), "taxon string, rank_name string, guild string"), "endophytes": (("widget",), "genus string"),
+    }
+    community = analyses.import_community(**{name: spark.createDataFrame([row], schema) for name, (row, schema) in frames.items()}, depth=5, store=True)
+    assert "split(" not in community.taxonomy._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.feature, r.kingdom, r.primary_guild) for r in community.taxonomy.collect()] == [("f", "Fungi", "Endophyte")]
+    assert values(community.rarefied, "sample", "feature", "n") == [("s", "f", 5)]
+
+
 def test_too_many_ranks_is_an_error(spark):
     import pytest
 
