@@ -157,3 +157,12 @@ def test_short_prefixes_are_joined(spark):
     assert distances._prefix_pays(ranked, 0.2) and not distances._prefix_pays(ranked, 0.99)
     got = {(r.s1, r.s2): r.d for r in distances.bray_curtis(df, max_d=0.2).collect()}
     assert got == pytest.approx({k: d for k, d in all_distances(cells).items() if d <= 0.2}) and len(got) == 10
+
+
+def test_feature_distance_reads_its_profiles_once(spark):
+    rows = [("a", "s1", 1.0), ("a", "s2", 8.0), ("b", "s1", 8.0), ("c", "s3", 27.0)]
+    scaled = spark.createDataFrame(rows, "taxon string, sample string, v double").withColumn("scaled", F.cbrt("v"))
+    made = distances.feature_distance(scaled)
+    assert "cbrt" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {(r.s1, r.s2): round(r.d**2, 9) for r in made.collect()}
+    assert got == {("a", "b"): 5.0, ("a", "c"): 14.0, ("b", "c"): 13.0}
