@@ -76,6 +76,7 @@ class PrefixCounter:
         specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.specials, self.held, self.after, self.known = specials, {}, {}, {}
+        self.total_of, self.total_after = {}, {}
 
     def _merged(self, tokens: list[int]) -> list[int]:
         """What the merges make of single-byte tokens."""
@@ -96,12 +97,12 @@ class PrefixCounter:
         return ok
 
     def _walk(self, data: bytes) -> list[int]:
-        """Counts after 0, 1, … bytes of one piece.
+        """Where the last token of the first 0, 1, … bytes of one piece begins.
 
         Exactly one token ends each prefix, so the order of trials is free: first the token
         before, grown by a byte, then the tokens that end here, from the shortest on.
         """
-        last, began, count = [-1], [0], [0]
+        last, began = [-1], [0]
         step, token_at, fits, longer = self.step, self.token_at, self.fits, self.longer
         token = -1
         for end, byte in enumerate(data):
@@ -120,15 +121,29 @@ class PrefixCounter:
                             break
             last.append(token)
             began.append(start)
+        return began
+
+    def _counts(self, data: bytes) -> list[int]:
+        """Counts after 0, 1, … bytes of one piece."""
+        count = [0]
+        for start in self._walk(data)[1:]:
             count.append(count[start] + 1)
         return count
 
+    def _last(self, data: bytes) -> int:
+        """The last of the counts of one piece: back along its tokens."""
+        began, at, n = self._walk(data), len(data), 0
+        while at:
+            at = began[at]
+            n += 1
+        return n
+
     def _steps(self, piece: str) -> bytes:
         """What each code point of one piece adds to the count (int16)."""
         made = self.known.get(piece)
         if made is None:
             data = piece.encode()
-            count = self._walk(data)
+            count = self._counts(data)
             if len(data) > len(piece):  # only the ends of code points count
                 count = [0, *(c for c, after in zip(count[1:], [*data[1:], 0], strict=True) if after & 0xC0 != 0x80)]
             if piece in ("'re", "'ve", "'ll"):  # cut after the first letter, it is two pieces
@@ -141,7 +156,7 @@ class PrefixCounter:
     def _unit(self, unit: str) -> bytes:
         """What each code point of white space and what follows it up to the next white space adds (int16)."""
         if unit[0] == " " and unit.isascii() and unit[1:].isalpha():  # one piece, a letter a byte
-            count = self._walk(unit.encode())
+            count = self._counts(unit.encode())
             return array("h", map(sub, count[1:], count)).tobytes()
         blank, pieces = LEADING.match(unit).end(), self.pieces(unit)
         if blank < 2:  # cut after a single blank, it is one token, as it is before more
@@ -167,19 +182,50 @@ class PrefixCounter:
         made = self.after[word] = self._unit(word if word[:1] == "\n" else " " + word)
         return made
 
+    def _total(self, unit: str) -> int:
+        """What a whole unit adds."""
+        if unit[0] == " " and unit.isascii() and unit[1:].isalpha():
+            return self._last(unit.encode())
+        return sum([self._last(piece.encode()) for piece in self.pieces(unit)])
+
+    def _new_total(self, unit: str) -> int:
+        if len(self.total_of) >= UNITS_HELD:
+            self.total_of.clear()
+        made = self.total_of[unit] = self._total(unit)
+        return made
+
+    def _total_after_blank(self, word: str) -> int:
+        if len(self.total_after) >= UNITS_HELD:
+            self.total_after.clear()
+        made = self.total_after[word] = self._total(word if word[:1] == "\n" else " " + word)
+        return made
+
+    def _split(self, text: str) -> tuple[list[str], list[str]]:
+        """Units as they are, then words whose unit begins with the blank before them."""
+        if ODD.search(text) or any(twice in text for twice in ("  ", " \n", "\n ", "\n\n")):
+            return UNIT.findall(text), []
+        # words one blank or one line end apart: the blank belongs to the word after it
+        first, *words = text.replace("\n", " \n").split(" ")
+        return [first] if first else [], words
+
     def _plain(self, text: str) -> np.ndarray:
         """Counts of a text without special strings."""
-        get, new = self.held.get, self._new
-        if ODD.search(text) or any(twice in text for twice in ("  ", " \n", "\n ", "\n\n")):
-            parts = [get(u) or new(u) for u in UNIT.findall(text)]
-        else:  # words one blank or one line end apart: the blank belongs to the word after it
-            first, *words = text.replace("\n", " \n").split(" ")
-            after = self.after.get
-            parts = [after(w) or self._after_blank(w) for w in words]
-            if first:
-                parts.insert(0, get(first) or new(first))
+        get, new, after = self.held.get, self._new, self.after.get
+        units, words = self._split(text)
+        parts = [get(u) or new(u) for u in units]
+        parts += [after(w) or self._after_blank(w) for w in words]
         return np.cumsum(np.frombuffer(b"".join(parts), np.int16), dtype=np.int32)
 
+    def total(self, text: str | None) -> int:
+        """The last of the counts (0 without text), without listing those before it."""
+        if not text:
+            return 0
+        if self.special is not None and any(s in text for s in self.specials):
+            return int(self.counts(text)[-1])
+        get, after = self.total_of.get, self.total_after.get
+        units, words = self._split(text)
+        return sum([get(u) or self._new_total(u) for u in units]) + sum([after(w) or self._total_after_blank(w) for w in words])
+
     def counts(self, text: str | None) -> np.ndarray:
         """int32 counts at the prefixes of 1, 2, … code points of ``text``."""
         if not text:
@@ -231,15 +277,15 @@ def prefix_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", out
 
 
 def token_totals(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """``docs`` with ``out``, the tokens of the whole text: the last entry of its prefix table, which stays in the worker."""
+    """``docs`` with ``out``, the tokens of the whole text: the last entry of its prefix table, of which only that is made."""
     schema = T.StructType([*[f for f in docs.schema if f.name != out], T.StructField(out, T.LongType())])
     names = [f.name for f in schema][:-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer)
         for part in text_slices(batches, text, 1 << 20):
-            tables = map(counter.counts, part.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([int(t[-1]) if len(t) else 0 for t in tables], pa.int64())], [*names, out])
+            totals = pa.array([counter.total(t) for t in part.column(text).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), totals], [*names, out])
 
     return docs.mapInArrow(count, schema)
 
