@@ -11,7 +11,7 @@ Texts with equal sets form one class and enter once.  A candidate of
 whose shingles too many occur in no other candidate can reach no one's threshold and leaves.
 Inside a bucket no list of pairs is made: a few leaders (centres first) are compared with the
 members of other components, links are merged into components, leaders that have met everybody
-leave, and the number of leaders doubles, until every bucket holds one component.  So a bucket of
+leave, and the number of leaders grows fourfold, until every bucket holds one component.  So a bucket of
 near copies costs about one comparison each, and still no pair of different components goes
 unexamined.
 
@@ -40,6 +40,10 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534  # the sketch's b, a and q
 SLACK = 20.0
 SEED = 5
 THRESHOLD = (80, 100)
+#: Ids of candidates and keys of buckets are broadcast up to this size (KEY_BYTES each), joined by a shuffle beyond it.
+BROADCAST_BYTES, KEY_BYTES = 64 << 20, 24
+#: Each round takes so many times the leaders of the one before.
+MORE_LEADERS = 4
 
 
 def shingles(text: str | None, known: WordHashes, words: int = WINDOW) -> np.ndarray:
@@ -160,10 +164,19 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: tup
     return scratch.keep(both.where(den * common >= num * (F.size("e_a") + F.size("e_b") - common)).select("a", "b"))
 
 
+def _measured(keys: DataFrame) -> DataFrame:
+    """A stored column of keys, broadcast if it is counted to be small."""
+    return F.broadcast(keys) if keys.count() * KEY_BYTES <= BROADCAST_BYTES else keys
+
+
+def _mixed(members: DataFrame, root: str = "id") -> DataFrame:
+    """Buckets that hold different values of ``root``."""
+    return members.groupBy("bucket").agg(F.min(root).alias("lo"), F.max(root).alias("hi")).where("lo <> hi").select("bucket")
+
+
 def _crowded(members: DataFrame, root: str = "id") -> DataFrame:
     """Members of the buckets that hold different values of ``root``."""
-    mixed = members.groupBy("bucket").agg(F.min(root).alias("lo"), F.max(root).alias("hi")).where("lo <> hi").select("bucket")
-    return members.join(mixed, "bucket", "left_semi")
+    return members.join(_mixed(members, root), "bucket", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int] = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,8 +188,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int
     classes = scratch.keep(usable.groupBy("set_key").agg(F.min(key).alias("id")))
     reps = usable.join(classes, "set_key").where(F.col(key) == F.col("id"))
     reps = scratch.keep(reps.select("id", "n_shingles", "registers", "bands"))
-    members = scratch.keep(_crowded(reps.select("id", F.explode("bands").alias("bucket")).distinct()))
-    sets = scratch.keep(_sets(docs.join(members.select(F.col("id").alias(key)).distinct(), key, "left_semi"), key, text))
+    banded = reps.select("id", F.explode("bands").alias("bucket"))
+    buckets = scratch.keep(_mixed(banded))
+    members = scratch.keep(banded.join(_measured(buckets), "bucket", "left_semi").distinct())
+    # only candidates are compared: texts and registers of all others stay where they are
+    ids = scratch.keep(members.select("id").distinct())
+    candidates = _measured(ids)
+    sets = scratch.keep(_sets(docs.join(candidates.select(F.col("id").alias(key)), key, "left_semi"), key, text))
+    known = scratch.keep(reps.join(candidates, "id", "left_semi").select("id", "n_shingles", "registers"))
+    scratch.drop(reps, buckets)
     # ``core``: shingles that some other candidate has too; no intersection of a text is larger
     lonely = sets.select("id", F.explode("elements").alias("e")).groupBy("e").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     lonely = lonely.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
@@ -207,7 +227,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
-        found = _verified(pairs, reps, sets, threshold, scratch)
+        found = _verified(pairs, known, sets, threshold, scratch)
         tested = pairs if tested is None else scratch.keep(tested.unionAll(pairs))
         if found.limit(1).count():
             links = found if links is None else scratch.keep(links.unionAll(found))
@@ -219,7 +239,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int
         after = scratch.keep(_crowded(rest, "root"))
         scratch.drop(live, leaders)
         scratch.tidy()
-        live, leaders_per_bucket = after, leaders_per_bucket * 2
+        live, leaders_per_bucket = after, leaders_per_bucket * MORE_LEADERS
     # rows that share a key are one document: their classes belong together
     named = usable.join(classes, "set_key").select(key, "id").distinct()
     lowest = named.groupBy(key).agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select(key, "b")
@@ -231,5 +251,5 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int
         placed = placed.join(roots, placed["id"] == roots["node"], "left").withColumn("id", F.coalesce("root", "id"))
     component = F.when(F.col(key).isNotNull(), F.coalesce("id", key))
     out = placed.select(key, "n_shingles", component.alias("component_id"))
-    scratch.drop(sets, reps)
+    scratch.drop(sets, known, ids)
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
