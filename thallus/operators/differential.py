@@ -15,12 +15,14 @@ from ..runtime import durable
 from . import taxonomy
 from .ecology import prevalence_filter
 from .models import _Columns, cell_moments, complete_cases, fitted_cells, lm
-from .ranking import bh_adjust, quantiles
+from .ranking import bh_adjust, level_index, quantiles
 from .relational import eligible_samples, null_safe_join
 
 PSEUDO_COUNTS = (0.1, 0.2, 0.3, 0.4, 0.5)
 # One number per sample, or per taxon and treatment, is broadcast up to this size.
 BROADCAST_BYTES = 32 << 20
+# What a taxon and treatment takes there, fits of two rounds, its number and its mean included.
+CELL_BYTES = 64
 
 
 def log_counts(counts: DataFrame, samples: DataFrame, tax: DataFrame | None, factors: Sequence[str], rank: str = "genus", prv_cut: float = 0.02, lib_cut: float = 0) -> DataFrame:
@@ -52,12 +54,57 @@ def _measured(table: DataFrame, row_bytes: int) -> DataFrame:
 def _bias(table: DataFrame, factors: Sequence[str], levels, tol: float, max_iter: int) -> tuple[DataFrame, Settled]:
     """Sampling bias per sample: alternate per-taxon fits and per-sample mean residuals.
 
-    The cells are stored once in the order of their taxa, so a pass over them meets whole taxa and its
-    partial sums are what is shuffled, not the cells.  Moments of y and sums per sample never change;
-    a round adds the mean bias per taxon and treatment, solves, and sums the fitted values per sample.
+    Moments of y per taxon and treatment never change; a round adds the mean bias to them, solves, and
+    takes the mean residual of every sample, which the fits alone decide.  ``table`` is read twice: store it.
+    """
+    cells = durable(cell_moments(table, "y", factors, [], ["taxon"], levels=levels))
+    if cells.count() * CELL_BYTES <= BROADCAST_BYTES:
+        return _bias_of_lists(table, cells, factors, levels, tol, max_iter)
+    return _bias_of_cells(table, cells, factors, levels, tol, max_iter)
+
+
+def _bias_of_lists(table: DataFrame, cells: DataFrame, factors: Sequence[str], levels, tol: float, max_iter: int) -> tuple[DataFrame, Settled]:
+    """Taxa and treatments are few enough to broadcast a number for each.
+
+    A sample is stored once as the list of its (taxon, treatment) numbers, and a round is one pass over
+    these lists: the bias comes from the broadcast fits, and only means per taxon and treatment are shuffled.
+    """
+    keys = ["taxon", *factors]
+    numbered = durable(level_index(cells, keys, "_cell"))
+    listed = null_safe_join(table, F.broadcast(numbered.select(*keys, "_cell")), keys)
+    listed = durable(listed.groupBy("sample").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"), F.collect_list("_cell").alias("cells")).where("sample IS NOT NULL"))
+    means, before, now, moved, rounds = numbered.select("_cell", F.lit(0.0).alias("_theta")), None, None, None, 0
+
+    def residual(bases: str) -> Column:
+        """Mean residual of a sample under the fits in column ``bases``."""
+        fitted = F.aggregate("cells", F.lit(0.0), lambda total, c: total + F.get(bases, (c - 1).cast("int")))
+        return (F.col("y") - fitted) / F.col("n")
+
+    while rounds < max_iter:
+        rounds += 1
+        known = numbered.join(F.broadcast(means), "_cell").withColumn("m0", F.col("m0") - F.col("_theta")).select(*cells.columns)
+        fits = null_safe_join(numbered.select(*keys, "_cell"), fitted_cells(known, factors, factors, [], ["taxon"], levels), keys)
+        fits = fits.select("_cell", F.coalesce("_base", F.lit(0.0)).alias("_base"))  # one for each number, so that numbers are places
+        before, now = now, durable(fits.agg(F.sort_array(F.collect_list(F.struct("_cell", "_base"))).alias("b")).select(F.col("b._base").alias("now")))
+        step = listed.crossJoin(F.broadcast(now))
+        step = step.crossJoin(F.broadcast(before.withColumnRenamed("now", "before"))) if before is not None else step
+        step = step.select("cells", residual("now").alias("new"), residual("before").alias("old") if before is not None else F.lit(0.0).alias("old"))
+        step = step.select(F.explode_outer("cells").alias("_cell"), "new", F.abs(F.col("new") - F.col("old")).alias("moved"))
+        means = durable(step.groupBy("_cell").agg(F.avg("new").alias("_theta"), F.max("moved").alias("moved")))
+        moved = means.agg(F.max("moved")).first()[0]
+        if moved is None or moved < tol:
+            break
+    theta = listed.crossJoin(F.broadcast(now)).select("sample", residual("now").alias("theta")) if now is not None else listed.select("sample", F.lit(0.0).alias("theta"))
+    return durable(theta), Settled(rounds, moved is None or moved < tol)
+
+
+def _bias_of_cells(table: DataFrame, cells: DataFrame, factors: Sequence[str], levels, tol: float, max_iter: int) -> tuple[DataFrame, Settled]:
+    """For more taxa and treatments than that.
+
+    The rows are stored once in the order of their taxa, so a pass over them meets whole taxa and its
+    partial sums are what is shuffled; a round joins them with the biases, and with the fits.
     """
     arranged = durable(table.repartitionByRange("taxon", "sample").sortWithinPartitions("taxon"))
-    cells = durable(cell_moments(arranged, "y", factors, [], ["taxon"], levels=levels))
     seen = durable(arranged.groupBy("sample").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")))
     theta, moved, rounds = durable(seen.select("sample", F.lit(0.0).alias("theta"))), None, 0
     keys = ["taxon", *factors]
@@ -77,7 +124,7 @@ def _bias(table: DataFrame, factors: Sequence[str], levels, tol: float, max_iter
 
 def sampling_bias(table: DataFrame, factors: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None, rounds: int = 20, tol: float = 1e-5) -> DataFrame:
     """``(sample, theta)`` after at most so many rounds."""
-    return _bias(complete_cases(table, factors, levels), factors, levels, tol, rounds)[0]
+    return _bias(durable(complete_cases(table, factors, levels)), factors, levels, tol, rounds)[0]
 
 
 _PARAMETERS = ("delta", "l1", "l2", "k1", "k2", "p0", "p1", "p2")
