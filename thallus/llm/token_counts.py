@@ -34,6 +34,8 @@ UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 ODD = re.compile(f"[{SPACE.replace(' ', '', 1).replace(chr(10), '')}]|[ \\n]$")
 LEADING = re.compile(f"[{SPACE}]*")
 UNITS_HELD = 500_000
+#: A line end, letters (of blocks whose letters are settled) and marks: of such a word each part is a piece of its own.
+PLAIN_WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
 def _byte_letters() -> dict[str, int]:
@@ -71,12 +73,14 @@ class PrefixCounter:
         #: token -> the token one byte longer; before the first byte stands -1
         self.longer = {ids[b[:-1]] << 8 | b[-1]: i for b, i in ids.items() if b[:-1] in ids} | {-1 << 8 | b: i for b, i in self.single.items()}
         self.fits: dict[int, bool] = {}
+        #: the piece walked last; the last token of each of its prefixes, where that token begins, and the prefix's count
+        self.walked, self.last, self.began, self.count = b"", [-1], [0], [0]
         # fixed value: the split pattern of this kind of vocabulary
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         specials = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.specials, self.held, self.after, self.known = specials, {}, {}, {}
-        self.total_of, self.total_after = {}, {}
+        self.total_of, self.total_after, self.earlier, self.total_piece = {}, {}, {}, {}
 
     def _merged(self, tokens: list[int]) -> list[int]:
         """What the merges make of single-byte tokens."""
@@ -97,16 +101,24 @@ class PrefixCounter:
         return ok
 
     def _walk(self, data: bytes) -> list[int]:
-        """Where the last token of the first 0, 1, … bytes of one piece begins.
+        """Counts after 0, 1, … bytes of one piece, valid until the next call.
 
         Exactly one token ends each prefix, so the order of trials is free: first the token
-        before, grown by a byte, then the tokens that end here, from the shortest on.
+        before, grown by a byte, then the tokens that end here, from the shortest on.  What
+        the piece has in common with the one walked before it is not walked again.
         """
-        last, began = [-1], [0]
+        last, began, count = self.last, self.began, self.count
         step, token_at, fits, longer = self.step, self.token_at, self.fits, self.longer
-        token = -1
-        for end, byte in enumerate(data):
-            token, start = longer.get(token << 8 | byte, -1), began[end]
+        before, common = self.walked, 0
+        for mine, other in zip(data, before):  # noqa: B905  as far as the shorter one goes
+            if mine != other:
+                break
+            common += 1
+        del last[common + 1 :], began[common + 1 :], count[common + 1 :]
+        self.walked = data
+        token = last[common]
+        for end in range(common, len(data)):
+            token, start = longer.get(token << 8 | data[end], -1), began[end]
             if token < 0 or (start and not (fits.get(last[start] << 20 | token) or self._follows(last[start], token))):
                 node, start = 0, end + 1
                 while True:
@@ -121,29 +133,15 @@ class PrefixCounter:
                             break
             last.append(token)
             began.append(start)
-        return began
-
-    def _counts(self, data: bytes) -> list[int]:
-        """Counts after 0, 1, … bytes of one piece."""
-        count = [0]
-        for start in self._walk(data)[1:]:
             count.append(count[start] + 1)
         return count
 
-    def _last(self, data: bytes) -> int:
-        """The last of the counts of one piece: back along its tokens."""
-        began, at, n = self._walk(data), len(data), 0
-        while at:
-            at = began[at]
-            n += 1
-        return n
-
     def _steps(self, piece: str) -> bytes:
         """What each code point of one piece adds to the count (int16)."""
         made = self.known.get(piece)
         if made is None:
             data = piece.encode()
-            count = self._counts(data)
+            count = self._walk(data)
             if len(data) > len(piece):  # only the ends of code points count
                 count = [0, *(c for c, after in zip(count[1:], [*data[1:], 0], strict=True) if after & 0xC0 != 0x80)]
             if piece in ("'re", "'ve", "'ll"):  # cut after the first letter, it is two pieces
@@ -156,7 +154,7 @@ class PrefixCounter:
     def _unit(self, unit: str) -> bytes:
         """What each code point of white space and what follows it up to the next white space adds (int16)."""
         if unit[0] == " " and unit.isascii() and unit[1:].isalpha():  # one piece, a letter a byte
-            count = self._counts(unit.encode())
+            count = self._walk(unit.encode())
             return array("h", map(sub, count[1:], count)).tobytes()
         blank, pieces = LEADING.match(unit).end(), self.pieces(unit)
         if blank < 2:  # cut after a single blank, it is one token, as it is before more
@@ -185,8 +183,8 @@ class PrefixCounter:
     def _total(self, unit: str) -> int:
         """What a whole unit adds."""
         if unit[0] == " " and unit.isascii() and unit[1:].isalpha():
-            return self._last(unit.encode())
-        return sum([self._last(piece.encode()) for piece in self.pieces(unit)])
+            return self._walk(unit.encode())[-1]
+        return sum([self._total_piece(piece) for piece in self.pieces(unit)])
 
     def _new_total(self, unit: str) -> int:
         if len(self.total_of) >= UNITS_HELD:
@@ -194,10 +192,35 @@ class PrefixCounter:
         made = self.total_of[unit] = self._total(unit)
         return made
 
+    def _total_piece(self, piece: str) -> int:
+        """What one piece adds."""
+        made = self.total_piece.get(piece)
+        if made is None:
+            if len(self.total_piece) >= UNITS_HELD:
+                self.total_piece.clear()
+            made = self.total_piece[piece] = self._walk(piece.encode())[-1]
+        return made
+
     def _total_after_blank(self, word: str) -> int:
+        """What a word adds with the blank before it; words used since the last but one clearing are still held."""
+        made = self.earlier.get(word)
+        if made is None:
+            plain = PLAIN_WORD(word)
+            if plain is None:
+                made = self._total(word if word[:1] == "\n" else " " + word)
+            elif plain[2] == word:
+                made = self._walk(b" " + word.encode())[-1]
+            else:
+                end, letters, marks = plain.groups()
+                if end:  # the line end stands where the blank would
+                    made = self._total_piece(end) + self._total_piece(letters)
+                else:
+                    made = self.total_after.get(letters) or self._total_after_blank(letters)
+                if marks:
+                    made += self._total_piece(marks)
         if len(self.total_after) >= UNITS_HELD:
-            self.total_after.clear()
-        made = self.total_after[word] = self._total(word if word[:1] == "\n" else " " + word)
+            self.earlier, self.total_after = self.total_after, {}
+        self.total_after[word] = made
         return made
 
     def _split(self, text: str) -> tuple[list[str], list[str]]:
@@ -218,13 +241,20 @@ class PrefixCounter:
 
     def total(self, text: str | None) -> int:
         """The last of the counts (0 without text), without listing those before it."""
-        if not text:
-            return 0
-        if self.special is not None and any(s in text for s in self.specials):
-            return int(self.counts(text)[-1])
+        return self.totals([text])[0]
+
+    def totals(self, texts: list[str | None]) -> list[int]:
+        """``total`` of each text; their new words are walked in order, so that one begins where it leaves the one before."""
+        parts = [int(self.counts(t)[-1]) if t and any(s in t for s in self.specials) else self._split(t or "") for t in texts]
+        words: set[str] = set()
+        for part in parts:
+            if not isinstance(part, int):
+                words.update(part[1])
+        for word in sorted(words.difference(self.total_after)):
+            self._total_after_blank(word)
         get, after = self.total_of.get, self.total_after.get
-        units, words = self._split(text)
-        return sum([get(u) or self._new_total(u) for u in units]) + sum([after(w) or self._total_after_blank(w) for w in words])
+        add = lambda units, words: sum([get(u) or self._new_total(u) for u in units]) + sum([after(w) or self._total_after_blank(w) for w in words])
+        return [part if isinstance(part, int) else add(*part) for part in parts]
 
     def counts(self, text: str | None) -> np.ndarray:
         """int32 counts at the prefixes of 1, 2, … code points of ``text``."""
@@ -283,8 +313,8 @@ def token_totals(docs: DataFrame, tokenizer: str, text: str = "text", out: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer)
-        for part in text_slices(batches, text, 1 << 20):
-            totals = pa.array([counter.total(t) for t in part.column(text).to_pylist()], pa.int64())
+        for part in text_slices(batches, text):
+            totals = pa.array(counter.totals(part.column(text).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), totals], [*names, out])
 
     return docs.mapInArrow(count, schema)
