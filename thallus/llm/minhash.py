@@ -13,7 +13,9 @@ Inside a bucket no list of pairs is made: a few leaders (centres first) are comp
 members of other components, links are merged into components, leaders that have met everybody
 leave, and the number of leaders grows fourfold, until every bucket holds one component.  So a bucket of
 near copies costs about one comparison each, and still no pair of different components goes
-unexamined.
+unexamined.  Before a leader and a member become a pair, their sizes, the shingles they can have in
+common and the parities of their shingles must leave room for the threshold: exact bounds that
+lose no link.
 
 Edge cases: texts without words (null, empty, blanks) link with nothing; fewer words than a
 shingle make one shingle of the whole text; equal texts are linked; rows that share a doc_id are
@@ -44,6 +46,8 @@ THRESHOLD = (80, 100)
 BROADCAST_BYTES, KEY_BYTES = 64 << 20, 24
 #: Each round takes so many times the leaders of the one before.
 MORE_LEADERS = 4
+#: Longs of a text's parities: bit i tells whether an odd number of its shingles has hash i modulo 64 * PARITIES.
+PARITIES = 8
 
 
 def shingles(text: str | None, known: WordHashes, words: int = WINDOW) -> np.ndarray:
@@ -130,16 +134,23 @@ def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, th
     return likelihood(grid).max(axis=1) - likelihood(above).max(axis=1) <= slack
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """int64 parities of a set.  Two sets differ in at least as many elements as their parities differ in bits."""
+    odd = np.bincount((elements % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in text_slices(batches, text, 1 << 20):
             found = [shingles(t, known) for t in part.column(text).to_pylist()]
             ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).view(np.int64)))], ["id", "elements"])
+            odd = pa.array([parities(f) for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).view(np.int64))), odd], ["id", "elements", "odd"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(make, f"id {kind}, elements array<long>")
+    return docs.select(key, text).mapInArrow(make, f"id {kind}, elements array<long>, odd array<long>")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
@@ -182,6 +193,7 @@ def _crowded(members: DataFrame, root: str = "id") -> DataFrame:
 def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int] = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept: documents linked at ``threshold`` (a fraction) or above."""
     num, den = threshold
+    odd = [f"odd{k}" for k in range(PARITIES)]
     docs = docs.select(key, text)
     sketched = scratch.keep(sketches(docs, key, text))
     usable = sketched.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0))
@@ -200,16 +212,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int
     # ``core``: shingles that some other candidate has too; no intersection of a text is larger
     lonely = sets.select("id", F.explode("elements").alias("e")).groupBy("e").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     lonely = lonely.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    cores = sets.select("id", F.size("elements").alias("n")).join(lonely, "id", "left")
-    cores = cores.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("core")).groupBy("id").agg(F.max("n").alias("n"), F.max("core").alias("core"))
+    size, one = F.size("elements"), (F.min("odd") == F.max("odd")) & (F.min(F.size("elements")) == F.max(F.size("elements")))
+    # an id with several texts: bounds that hold for each of them, and no parities
+    cores = sets.groupBy("id").agg(F.min(size).cast("long").alias("n"), F.sum(size).alias("all"), F.when(one, F.min("odd")).alias("odd"))
+    cores = cores.join(lonely, "id", "left").withColumn("core", F.col("all") - F.coalesce("alone", F.lit(0)))
+    cores = cores.select("id", "n", "core", *[F.get("odd", F.lit(k)).alias(p) for k, p in enumerate(odd)])
     told = members.join(cores, "id")
     about = told.groupBy("bucket").agg(F.count(F.lit(1)).alias("met"), F.min("n").alias("least_n"))
     told = told.join(about, "bucket")
     degree = told.groupBy("id").agg(F.sum("met").alias("degree"))
     # the best similarity in this bucket: the whole core in common with a text as small as any here
     told = told.where(den * F.col("core") >= num * (F.col("n") + F.greatest("least_n", "core") - F.col("core")))
-    told = told.select("bucket", "id", "n", "core").join(degree, "id")
-    live = scratch.keep(_crowded(told.select("bucket", "id", F.col("id").alias("root"), "degree", "n", "core")))
+    told = told.select("bucket", "id", "n", "core", *odd).join(degree, "id")
+    live = scratch.keep(_crowded(told.select("bucket", "id", F.col("id").alias("root"), "degree", "n", "core", *odd)))
     scratch.drop(members)
     scratch.tidy()
     links, tested, roots, leaders_per_bucket = None, None, None, 1
@@ -217,12 +232,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int
         # texts of small components first, and among them those that meet many others: the centre of a family
         together = live.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("together"))
         place = F.pmod(F.xxhash64("id", F.lit(leaders_per_bucket)), F.lit(leaders_per_bucket))
-        order = F.struct("together", (-F.col("degree")).alias("degree"), "id", "root", "n", "core")
+        order = F.struct("together", (-F.col("degree")).alias("degree"), "id", "root", "n", "core", *odd)
         leaders = live.join(together, ["bucket", "root"]).groupBy("bucket", place.alias("_place")).agg(F.min(order).alias("l"))
-        leaders = scratch.keep(leaders.select("bucket", "l.id", "l.root", "l.n", "l.core"))
-        other = leaders.select("bucket", *[F.col(c).alias(f"l_{c}") for c in ("id", "root", "n", "core")]).withColumnRenamed("l_id", "l")
+        leaders = scratch.keep(leaders.select("bucket", *[f"l.{c}" for c in ("id", "root", "n", "core", *odd)]))
+        other = leaders.select("bucket", *[F.col(c).alias(f"l_{c}") for c in ("id", "root", "n", "core", *odd)]).withColumnRenamed("l_id", "l")
         common = F.least("core", "l_core")
-        met = live.join(other, "bucket").where((F.col("root") != F.col("l_root")) & (den * common >= num * (F.col("n") + F.col("l_n") - common)))
+        both = F.col("n") + F.col("l_n")
+        differ = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"l_{p}"))) for p in odd), F.lit(0))
+        near = (den * common >= num * (both - common)) & F.coalesce(den * (both - differ) >= num * (both + differ), F.lit(True))
+        met = live.join(other, "bucket").where((F.col("root") != F.col("l_root")) & near)
         pairs = met.select(F.least("id", "l").alias("a"), F.greatest("id", "l").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -235,7 +253,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, threshold: tuple[int, int
         rest = live.join(leaders, ["bucket", "id"], "left_anti")
         if roots is not None:
             rest = rest.drop("root").join(roots, rest["id"] == roots["node"], "left")
-        rest = rest.select("bucket", "id", F.coalesce("root", "id").alias("root"), "degree", "n", "core")
+        rest = rest.select("bucket", "id", F.coalesce("root", "id").alias("root"), "degree", "n", "core", *odd)
         after = scratch.keep(_crowded(rest, "root"))
         scratch.drop(live, leaders)
         scratch.tidy()
