@@ -7,6 +7,7 @@ from thallus import sources
 from thallus.functions import text
 from thallus.operators import relational, taxonomy
 from thallus.plans import analyses
+from thallus.runtime import durable
 
 
 def write(path, content, encoding="utf-8"):
@@ -119,6 +120,20 @@ def test_guild_by_most_specific_rank_and_override(spark):
     ]
 
 
+def test_taxa_are_not_broadcast_to_meet_the_guilds(spark, monkeypatch):
+    columns = ["feature", *text.RANKS]
+    rows = [(f"f{i}", "Fungi", *[None] * 4, "Tuber" if i % 3 == 0 else "Cadophora", None) for i in range(30)] + [("f0", "Fungi", *[None] * 6), (None, None, *[None] * 6)]
+    tax = durable(spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns)))
+    lookup = spark.createDataFrame([("Tuber", "Genus", "|Ectomycorrhizal|"), ("Fungi", "Kingdom", "none")], "taxon string, rank_name string, guild string")
+    want = sorted([(f, {"Tuber": "|Ectomycorrhizal|"}.get(g, "none")) for f, _, _, _, _, _, g, _ in rows[:30]] + [("f0", "|Ectomycorrhizal|"), (None, None)], key=repr)
+    for most, join in ((taxonomy.LOOKUP_ROWS, "BroadcastHashJoin [name"), (1, "SortMergeJoin [name")):
+        monkeypatch.setattr(taxonomy, "LOOKUP_ROWS", most)
+        out = taxonomy.assign_by_rank(tax, lookup)
+        by_rank = [line for line in out._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join [name" in line]
+        assert len(by_rank) == 1 and join in by_rank[0] and "BuildLeft" not in by_rank[0]
+        assert values(out, "feature", "guild") == want
+
+
 def test_consensus_needs_a_majority(spark):
     hits = spark.createDataFrame([("q", s, 10.0 - i, i) for i, s in enumerate("aaabbc")] + [("r", "a", 1.0, 1), ("r", "d", 1.0, 2)], "query string, subject string, score double, tie int")
     raw = spark.createDataFrame([("a", "k__F; p__A; g__X"), ("b", "k__F;p__A; g__Y"), ("c", "k__F; p__B"), ("d", "k__M")], "feature string, lineage string")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.text import RANKS, UNASSIGNED
 
+# A lookup of at most this many rows is broadcast, a larger one meets the taxa by a shuffle.
+LOOKUP_ROWS = 100_000
+
 
 def parse_lineage(df: DataFrame, col: str = "lineage", ranks: Sequence[str] = RANKS, sep: str = ";") -> DataFrame:
     """Rank columns by position; missing tail ranks are NULL, surplus pieces are an error.
@@ -38,13 +41,17 @@ def taxonomy_table(tax_raw: DataFrame) -> DataFrame:
 def assign_by_rank(
     tax: DataFrame, lookup: DataFrame, ranks: Sequence[str] = RANKS[:6], value: str = "guild"
 ) -> DataFrame:
-    """``lookup(taxon, rank_name, <value>)``: the entry of the most specific rank that matches."""
+    """``lookup(taxon, rank_name, <value>)``: the entry of the most specific rank that matches.
+
+    The lookup is counted, as its size is not known to the optimizer, which else broadcasts the taxa: a stored
+    taxonomy takes few bytes a row and has a row per rank here.  The taxa stay where they are."""
     ranked = tax.select(
         "feature",
         F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(r).alias("rank"), F.col(r).alias("name")) for i, r in enumerate(ranks)])).alias("r"),
     ).select("feature", F.col("r.no").alias("no"), F.col("r.rank").alias("rank"), F.col("r.name").alias("name"))
     entries = lookup.select(F.col("taxon").alias("name"), F.lower("rank_name").alias("rank"), value)
-    best = ranked.where(F.col("name").isNotNull()).join(entries, ["name", "rank"])
+    named, few = ranked.where(F.col("name").isNotNull()), entries.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
+    best = (named if few else named.hint("merge")).join(F.broadcast(entries) if few else entries, ["name", "rank"])
     best = best.groupBy("feature").agg(F.max_by(value, "no").alias(value))
     return tax.join(best, "feature", "left")
 
