@@ -166,3 +166,33 @@ def test_feature_distance_reads_its_profiles_once(spark):
     assert "cbrt" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
     got = {(r.s1, r.s2): round(r.d**2, 9) for r in made.collect()}
     assert got == {("a", "b"): 5.0, ("a", "c"): 14.0, ("b", "c"): 13.0}
+
+
+def test_every_pair_of_samples_has_its_distance(table, spark, monkeypatch, tmp_path):
+    cells, df = table
+    df = df.unionByName(spark.createDataFrame([(None, "f0", 2), ("t1", None, 5)], df.schema))
+    sizes = {"t1": 5}
+    for s, _, n in cells:
+        sizes[s] = sizes.get(s, 0) + n
+    shared, names = all_distances(cells), sorted({c[0] for c in cells})
+    old = {s: sum(n for t, _, n in cells if t == s) for s in names}
+    want = {}
+    for a in names:
+        for b in names:
+            if a < b:  # a read without a feature counts in its sample
+                want[a, b] = 1 - (1 - shared[a, b]) * (old[a] + old[b]) / (sizes[a] + sizes[b]) if (a, b) in shared else 1.0
+    for edge, hot in ((256, 2048), (5, 2048), (4, 3)):
+        monkeypatch.setattr(distances, "IDS_PER_BLOCK", edge)
+        rows = distances.bray_curtis(df, complete=True, hot=hot).collect()
+        assert len(rows) == len(want) and {(r.s1, r.s2): r.d for r in rows} == pytest.approx(want)
+    assert distances.all_pairs(df, "sample").count() == len(want)  # a missing id has no pairs, in blocks or not
+    assert distances.bray_curtis(df.where("false"), complete=True).count() == 0
+
+
+def test_registered_distances_list_samples_that_share_nothing(spark, tmp_path):
+    from thallus.catalog import QUERIES
+
+    rows = [(1, 1, "F"), (1, 2, "F"), (2, 1, "O"), (3, 3, "F")]  # supplier, part, status
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r.s1, r.s2): r.d for r in QUERIES["bray_curtis"](spark, str(tmp_path)).collect()}
+    assert got == {("1_F", "2_O"): pytest.approx(1 / 3, abs=1e-6), ("1_F", "3_F"): 1.0, ("2_O", "3_F"): 1.0}
